@@ -64,33 +64,29 @@ def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_
     directory = leaves(rows, limit)
     n, deepest = directory.agg(F.count(F.lit(1)), F.max("depth")).first()
     slot_bits = min(max((n or 1) - 1, 1).bit_length(), deepest or 0)
-    cut = F.lit(BITS - slot_bits)
     spread = directory.select(
-        F.col("depth"),
-        F.col("prefix"),
-        F.col("shard_bytes"),
-        F.col("n_docs"),
-        F.expr(f"shiftleft(prefix, {BITS} - depth)").alias("lo"),
-        F.expr(f"shiftleft(prefix + 1, {BITS} - depth) - 1").alias("hi"),
+        F.col("depth").alias("_depth"),
+        F.col("prefix").alias("_prefix"),
+        F.col("shard_bytes").alias("_bytes"),
+        F.col("n_docs").alias("_docs"),
+        F.expr(f"shiftleft(prefix, {BITS} - depth)").alias("_lo"),
+        F.expr(f"shiftleft(prefix + 1, {BITS} - depth) - 1").alias("_hi"),
     )
     # a bucket above the slots' depth is in several slots, one below it shares its slot
-    spread = spread.withColumn("slot", F.explode(F.sequence(F.expr(f"shiftright(lo, {BITS - slot_bits})"), F.expr(f"shiftright(hi, {BITS - slot_bits})"))))
+    spread = spread.withColumn("_slot", F.explode(F.sequence(F.expr(f"shiftright(_lo, {BITS - slot_bits})"), F.expr(f"shiftright(_hi, {BITS - slot_bits})"))))
     n_slots = spread.count()
-    found = keyed.join(small_or_not(spread, n_slots), (F.expr(f"shiftright(_h, {BITS - slot_bits})") == F.col("slot")) & F.col("_h").between(F.col("lo"), F.col("hi")), "left")
-    del cut
-    name = F.concat(F.lit("b"), F.when(F.col("depth") > 0, F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0"))).otherwise(F.lit("")))
-    packed = F.struct(name.alias("id"), F.col("depth").cast("int").alias("depth"), F.col("shard_bytes").cast("long").alias("shard_bytes"), F.col("_b").alias("n_bytes"), (F.col("_b") > limit).alias("oversize"))
+    found = keyed.join(small_or_not(spread, n_slots), (F.expr(f"shiftright(_h, {BITS - slot_bits})") == F.col("_slot")) & F.col("_h").between(F.col("_lo"), F.col("_hi")), "left")
+    name = F.concat(F.lit("b"), F.when(F.col("_depth") > 0, F.lpad(F.bin("_prefix"), F.col("_depth"), F.lit("0"))).otherwise(F.lit("")))
+    packed = F.struct(name.alias("id"), F.col("_depth").cast("int").alias("depth"), F.col("_bytes").cast("long").alias("shard_bytes"), F.col("_b").alias("n_bytes"), (F.col("_b") > limit).alias("oversize"))
     out = found.withColumn("_shard", packed)
-    equal = directory.where((F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("n_docs") > 1))
-    if equal.isEmpty():
+    if directory.where((F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("n_docs") > 1)).isEmpty():
         return out.select(*[docs[c] for c in docs.columns], "_shard")
     # rows that no bit parts: as many to a cut as fit; each row of such a bucket has the same bytes
-    is_equal = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("n_docs") > 1)
+    is_equal = (F.col("_depth") == BITS) & (F.col("_bytes") > limit) & (F.col("_docs") > 1)
     each = F.greatest(F.floor(F.lit(limit) / F.greatest(F.col("_b"), F.lit(1))), F.lit(1))
     nth = F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(0))) - 1
-    part = F.when(is_equal, F.floor(nth / each))
-    inside = F.least(each, F.col("n_docs") - part * each) * F.col("_b")
-    cuts = out.where(is_equal).withColumn("_part", part).withColumn("_inside", inside)
+    cuts = out.where(is_equal).withColumn("_part", F.floor(nth / each))
+    cuts = cuts.withColumn("_inside", F.least(each, F.col("_docs") - F.col("_part") * each) * F.col("_b"))
     cuts = cuts.withColumn("_shard", F.struct(F.concat("_shard.id", F.lit("."), F.col("_part").cast("string")).alias("id"), F.col("_shard.depth"), F.col("_inside").cast("long").alias("shard_bytes"), F.col("_shard.n_bytes"), F.col("_shard.oversize")))
     cols = [*[F.col(c) for c in docs.columns], F.col("_shard")]
     return out.where(~F.coalesce(is_equal, F.lit(False))).select(*cols).unionByName(cuts.select(*cols))
