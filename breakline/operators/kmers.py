@@ -23,7 +23,7 @@ def kmer_rows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def count_kmers(seqs: DataFrame, k: int, per_read: bool = False, read: str = "read") -> DataFrame:
     """(kmer, n); ``per_read`` counts a k-mer once in each read. Counts are summed before the shuffle."""
-    rows = kmer_rows(seqs, k, (read,))
+    rows = kmer_rows(seqs, k, (read,) if per_read else ())
     if per_read:
         rows = rows.select(read, "kmer").distinct()
     return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
