@@ -216,7 +216,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = docs.withColumn("_sid", F.coalesce(F.col(id_col).cast("long"), stand_in))
     got = grouped(own.select("_sid", text_col), "_sid", text_col)
     keep = materialise(got.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
-    kept = own.join(keep.select(F.col("doc_id").alias("_sid")), "_sid", "left_semi")
+    # always by shuffle, whatever the size: the texts move once and the ids that stay are hashed partition by partition
+    kept = own.join(keep.select(F.col("doc_id").alias("_sid")).hint("shuffle_hash"), "_sid", "left_semi")
     if not keep.where(F.col("n") > 1).isEmpty():
         kept = kept.dropDuplicates(["_sid"])
     return kept.select(*docs.columns)
