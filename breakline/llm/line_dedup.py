@@ -44,16 +44,16 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
     return out
 
 
-def _block_entries(min_chars: int, shards: int):
+def _block_entries(min_chars: int, shards: int, id_col: str, text_col: str):
     """What a block sends: for each distinct key its shard, hash, smallest id and number of documents."""
 
     def run(block: pa.Table) -> pa.Table:
         least: dict[bytes, int] = {}
         count: dict[bytes, int] = {}
         seen: dict[int, set[bytes]] = {}  # keys of documents whose id repeats
-        ids = block.column("_id").to_pylist()
+        ids = block.column(id_col).to_pylist()
         repeated = len(set(ids)) < len(ids)
-        for doc, text in zip(ids, block.column("_text").cast(pa.binary()), strict=True):
+        for doc, text in zip(ids, block.column(text_col).cast(pa.binary()), strict=True):
             text = text.as_py()
             if not text:
                 continue
@@ -126,16 +126,16 @@ def _answer(shard: pa.Table) -> pa.Table:
     return pa.table({"_block": pa.array(block[told]), "hi": pa.array(hi[told].view(np.int64)), "lo": pa.array(lo[told].view(np.int64)), "owner": pa.array(owner[told])})
 
 
-def _apply(min_chars: int, columns: list[str], text_col: str):
+def _apply(min_chars: int, columns: list[str], id_col: str, text_col: str):
     """Drop a block's repeated lines, given what the shards told."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         pair = np.stack([told.column("hi").to_numpy().view(np.uint64), told.column("lo").to_numpy().view(np.uint64)], axis=1).astype(">u8").tobytes() if len(told) else b""
         owner = dict(zip((pair[i : i + 16] for i in range(0, len(pair), 16)), told.column("owner").to_pylist() if len(told) else (), strict=True))
         kept, total, dropped = [], [], []
-        texts = docs.column("_text").cast(pa.binary()).to_pylist()
+        texts = docs.column(text_col).cast(pa.binary()).to_pylist()
         digest = xxhash.xxh3_128_digest
-        for doc, text in zip(docs.column("_id").to_pylist(), texts, strict=True):
+        for doc, text in zip(docs.column(id_col).to_pylist(), texts, strict=True):
             lines = (text or b"").split(b"\n")
             total.append(len(lines))
             if not owner or not text:
@@ -158,12 +158,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated lines gone from the text, and ``_n_lines``, ``_n_dropped``. A null text stays null."""
     n_bytes = text_bytes(docs, text_col)
     blocks, shards = block_count(n_bytes), block_count(n_bytes, SHARD_BYTES)
-    own = docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.col(text_col).cast("string"), "_block": block_of(F.col(id_col), F.col(text_col), blocks)})
-    entries = own.select("_id", "_text", "_block").groupBy("_block").applyInArrow(_block_entries(min_chars, shards), "_shard int, _block int, hi long, lo long, least long, docs int")
+    # both uses take the same columns, so that the texts are shuffled once
+    own = docs.withColumns({id_col: F.col(id_col).cast("long"), text_col: F.col(text_col).cast("string"), "_block": block_of(F.col(id_col), F.col(text_col), blocks)})
+    entries = own.groupBy("_block").applyInArrow(_block_entries(min_chars, shards, id_col, text_col), "_shard int, _block int, hi long, lo long, least long, docs int")
     told = entries.groupBy("_shard").applyInArrow(_answer, "_block int, hi long, lo long, owner long")
-    fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields]
+    fields = [f for f in own.schema.fields if f.name != "_block"]
     schema = T.StructType([*fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
-    return own.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(_apply(min_chars, docs.columns, text_col), schema)
+    return own.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(_apply(min_chars, docs.columns, id_col, text_col), schema)
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
