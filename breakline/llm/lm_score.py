@@ -43,9 +43,9 @@ SHARD_BYTES = 32 << 20
 #: Positions that a task shuffles and passes over at once.
 _AT_ONCE = 1 << 19
 #: Text that a task reads, about; only for the number of groups that average.
-_TASK_BYTES = 64 << 20
-#: Tasks whose parameters one group averages at once.
-_AVERAGED = 64
+_TASK_BYTES = 16 << 20
+#: Parameters that one group averages at once, about: the averages form a tree of this width.
+_AVERAGED = 8
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
@@ -278,14 +278,16 @@ def _average(shares: pa.Table) -> pa.Table:
 def train(texts: DataFrame, vocabulary: Vocabulary, n_bytes: int) -> LogBilinear:
     """Train on all rows of ``texts`` (text), about ``n_bytes`` of it."""
     model = LogBilinear(vocabulary.counts)
-    groups = max(1, n_bytes // (_AVERAGED * _TASK_BYTES))
+    groups = _AVERAGED
+    while groups * _AVERAGED < n_bytes // _TASK_BYTES:
+        groups *= _AVERAGED
     shares = texts.select("text").mapInArrow(_train(vocabulary, model, groups), "g int, flat binary, n long")
     while True:
-        shares = shares.groupBy("g").applyInArrow(_average, "g int, flat binary, n long")
+        shares = materialise(shares.groupBy("g").applyInArrow(_average, "g int, flat binary, n long"), "averages")
         if groups == 1:
             break
-        groups = -(-groups // _AVERAGED)
-        shares = materialise(shares.withColumn("g", F.pmod(F.xxhash64("flat"), F.lit(groups)).cast("int")), "averages")
+        groups //= _AVERAGED
+        shares = shares.withColumn("g", F.pmod(F.xxhash64("flat"), F.lit(groups)).cast("int"))
     if got := shares.first():  # one model of a fixed size
         model.flat = np.frombuffer(got["flat"], np.float32).copy()
     return model
