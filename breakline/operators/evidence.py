@@ -15,7 +15,7 @@ from ..functions import cigar as C
 from ..functions import coords, seq
 from ..functions.coords import flag
 
-COLUMNS = ["evidence_id", "kind", "category", "fragment_id", "ref1", "dir1", "start1", "end1", "ref2", "dir2", "start2", "end2", "size", "op", "mapq1", "mapq2", "exact"]
+COLUMNS = ["evidence_id", "kind", "category", "fragment_id", "ref1", "dir1", "start1", "end1", "ref2", "dir2", "start2", "end2", "size", "op", "mapq1", "mapq2", "exact", "strand"]
 
 
 def _end(c: Column, pos: Column) -> Column:
@@ -33,6 +33,7 @@ def _event(kind: str, ident: Column, ref1, dir1, start1, end1, ref2, dir2, start
         ref1.cast(s).alias("ref1"), dir1.cast(s).alias("dir1"), start1.cast(i).alias("start1"), end1.cast(i).alias("end1"),
         ref2.cast(s).alias("ref2"), dir2.cast(s).alias("dir2"), start2.cast(i).alias("start2"), end2.cast(i).alias("end2"),
         size.cast(i).alias("size"), op.cast(s).alias("op"), F.col("mapq").cast(i).alias("mapq1"), mapq2.cast(i).alias("mapq2"), F.lit(exact).alias("exact"),
+        F.when(flag(F.col("flag"), 0x10), "-").otherwise("+").alias("strand"),
     )
 
 

@@ -86,7 +86,11 @@ SELECT {_LINE} AS id, l_linenumber <> 7 AS is_bp, CAST(l_suppkey % 3 AS INT) AS
   l_linenumber = 2 AS in_pon, l_linenumber = 4 AS no_assembly, CAST(round(l_extendedprice) AS BIGINT) % 2000 AS qual
 FROM {{lineitem}}"""
 
-EVENTS = "SELECT CAST(event_id AS BIGINT) AS event_id, CAST(user_id % 8 AS INT) AS ref, CAST(epoch_s AS BIGINT) AS pos, event_type AS kind, value FROM {events}"
+
+
+def utc(column: str) -> str:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})"
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -118,7 +118,7 @@ WHERE density < 0.0005 OR u < exp(-(density - 0.0005) / 0.0005)""",
     ev="SELECT event_id, CAST(user_id % 8 AS INT) AS ref, CAST(epoch(ts) AS BIGINT) AS pos FROM {events}",
 )
 def w7_density_throttle(spark, d):
-    ev = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("user_id") % 8).cast("int").alias("ref"), F.unix_timestamp("ts").alias("pos"))
+    ev = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("user_id") % 8).cast("int").alias("ref"), F.floor(F.expr(A.utc("ts")) / 1_000_000).alias("pos"))
     return I.density_throttle(ev, ["ref"], "pos", F.col("event_id"), 3600, 0.0005, 0.001).select("event_id")
 
 

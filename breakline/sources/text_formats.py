@@ -100,8 +100,8 @@ def subsequence(spans: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path) -> DataFrame:
-    """Reads (name, seq, qual): files are split at line starts that begin a record of four lines."""
-    rows = spark.read.option("wholetext", True).text(path)
+    """Reads (name, seq, qual). No line tells by itself where a record begins, so a file is read whole: give many files, of far less than 2 GB each."""
+    rows = spark.read.text(path, wholetext=True)
     blocks = F.regexp_extract_all("value", F.lit(r"(?m)^@([^\n]+\n[^\n]*\n\+[^\n]*\n[^\n]*)"), F.lit(1))
     t = F.split("r", "\n")
     return rows.select(F.explode(blocks).alias("r")).select(F.split(t[0], r"\s")[0].alias("name"), t[1].alias("seq"), t[3].alias("qual"))

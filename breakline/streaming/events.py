@@ -59,7 +59,8 @@ def throttled(events: DataFrame, key: str, ts: str, window_s: int, most: int, la
                 if len(sent) < most:
                     sent.append(at)
                     keep.append(t[0])
-            yield pdf.loc[keep]
+            if keep:
+                yield pdf.loc[keep]
         state.update((sent,))
         if sent:
             state.setTimeoutTimestamp(max(int((max(sent) + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
