@@ -18,8 +18,17 @@ from ..functions.coords import flag
 COLUMNS = ["evidence_id", "kind", "category", "fragment_id", "ref1", "dir1", "start1", "end1", "ref2", "dir2", "start2", "end2", "size", "op", "mapq1", "mapq2", "exact", "strand"]
 
 
-def _end(c: Column, pos: Column) -> Column:
-    return pos + C.reference_length(c) - 1
+def _measured(df: DataFrame, cigar: str, prefix: str) -> DataFrame:
+    """What a CIGAR tells, once per read, as plain columns: later expressions use them many times."""
+    c = F.col(cigar)
+    tells = {"start": C.start_clip(c), "end": C.end_clip(c), "soft_start": C.start_clip(c, False), "soft_end": C.end_clip(c, False), "ref": C.reference_length(c), "len": C.read_length(c, True)}
+    return df.withColumns({f"{prefix}{k}": v for k, v in tells.items()})
+
+
+def _offsets(prefix: str, negative: Column) -> tuple[Column, Column]:
+    """First and last aligned base, in the order in which the read was sequenced."""
+    a, b, n = (F.col(f"{prefix}{k}") for k in ("start", "end", "len"))
+    return F.when(negative, b).otherwise(a), n - 1 - F.when(negative, a).otherwise(b)
 
 
 def _rows(df: DataFrame, e: str) -> DataFrame:
@@ -54,14 +63,29 @@ def indels(reads: DataFrame, least: int = 1) -> DataFrame:
     return _rows(run.select(F.explode(F.array(a, b)).alias("e")), "e")
 
 
+def _other_alignments() -> Column:
+    """The alignments of SA with their first and last aligned base and their last position, in the order of the first base."""
+    parts = F.transform(C.parse_sa(F.col("sa")), lambda a: F.struct(a["rname"].alias("rname"), a["pos"].alias("pos"), (a["strand"] == "-").alias("neg"), C.parse(a["cigar"]).alias("c"), a["mapq"].alias("mapq")))
+    return F.transform(parts, lambda a: F.struct(C.first_aligned_offset(a["c"], a["neg"]).alias("first"), C.last_aligned_offset(a["c"], a["neg"]).alias("last"), a["rname"].alias("rname"), a["pos"].alias("pos"), a["neg"].alias("neg"), (a["pos"] + C.reference_length(a["c"]) - 1).alias("end"), a["mapq"].alias("mapq")))
+
+
+def _leaves(pos: Column, end: Column, negative: Column) -> Column:
+    """Where a read goes on after an alignment: struct (dir, pos)."""
+    return F.struct(F.when(negative, F.lit("-")).otherwise(F.lit("+")).alias("dir"), F.when(negative, pos).otherwise(end).alias("pos"))
+
+
+def _enters(pos: Column, end: Column, negative: Column) -> Column:
+    return F.struct(F.when(negative, F.lit("+")).otherwise(F.lit("-")).alias("dir"), F.when(negative, end).otherwise(pos).alias("pos"))
+
+
 def split_reads(reads: DataFrame) -> DataFrame:
     """Up to two rows per alignment: to the nearest alignment of the read before it and after it, in the order of the read's bases."""
-    c, neg = F.col("cigar"), flag(F.col("flag"), 0x10)
-    ok = reads.where(~flag(F.col("flag"), 0x4) & (F.coalesce(F.col("sa"), F.lit("")) != ""))
-    others = F.transform(C.parse_sa(F.col("sa")), lambda a: F.struct(a["rname"].alias("rname"), a["pos"].alias("pos"), (a["strand"] == "-").alias("neg"), C.parse(a["cigar"]).alias("cigar"), a["mapq"].alias("mapq")))
-    placed = F.transform(others, lambda a: F.struct(C.first_aligned_offset(a["cigar"], a["neg"]).alias("first"), C.last_aligned_offset(a["cigar"], a["neg"]).alias("last"), a["rname"].alias("rname"), a["pos"].alias("pos"), a["neg"].alias("neg"), a["cigar"].alias("cigar"), a["mapq"].alias("mapq")))
-    ok = ok.withColumns({"_first": C.first_aligned_offset(c, neg), "_last": C.last_aligned_offset(c, neg), "_o": placed})
+    neg = flag(F.col("flag"), 0x10)
+    ok = _measured(reads.where(~flag(F.col("flag"), 0x4) & (F.coalesce(F.col("sa"), F.lit("")) != "")), "cigar", "_c_")
+    first, last = _offsets("_c_", neg)
+    ok = ok.withColumns({"_first": first, "_last": last, "_o": _other_alignments()})
     ok = ok.withColumns({"_pre": F.array_max(F.filter("_o", lambda a: a["first"] < F.col("_first"))), "_post": F.array_min(F.filter("_o", lambda a: a["first"] > F.col("_first")))})
+    pos, end = F.col("pos"), F.col("pos") + F.col("_c_ref") - 1
 
     def side(tag: str, other: str, own: Column, far: Column, overlap: Column) -> Column:
         w = F.greatest(overlap, F.lit(0))
@@ -70,57 +94,58 @@ def split_reads(reads: DataFrame) -> DataFrame:
             return b["pos"] - F.when(b["dir"] == "+", w).otherwise(0), b["pos"] + F.when(b["dir"] == "-", w).otherwise(0)
 
         (s1, e1), (s2, e2) = bounds(own), bounds(far)
-        clip = F.when(F.lit(tag == "pre"), F.col("_first")).otherwise(C.read_length(c, True) - 1 - F.col("_last"))
+        clip = F.col("_first") if tag == "pre" else F.col("_c_len") - 1 - F.col("_last")
         row = _event("SR", _ident("SR", F.lit(tag)), F.col("ref"), own["dir"], s1, e1, F.col(f"{other}.rname"), far["dir"], s2, e2, clip, F.lit("S"), F.col(f"{other}.mapq"))
         return F.when(F.col(other).isNotNull(), row)
 
-    pre = side("pre", "_pre", C.predecessor_breakend(F.col("pos"), c, neg), C.successor_breakend(F.col("_pre.pos"), F.col("_pre.cigar"), F.col("_pre.neg")), F.col("_pre.last") + 1 - F.col("_first"))
-    post = side("post", "_post", C.successor_breakend(F.col("pos"), c, neg), C.predecessor_breakend(F.col("_post.pos"), F.col("_post.cigar"), F.col("_post.neg")), F.col("_last") + 1 - F.col("_post.first"))
+    pre = side("pre", "_pre", _enters(pos, end, neg), _leaves(F.col("_pre.pos"), F.col("_pre.end"), F.col("_pre.neg")), F.col("_pre.last") + 1 - F.col("_first"))
+    post = side("post", "_post", _leaves(pos, end, neg), _enters(F.col("_post.pos"), F.col("_post.end"), F.col("_post.neg")), F.col("_last") + 1 - F.col("_post.first"))
     return _rows(ok.select(F.explode(F.array_compact(F.array(pre, post))).alias("e")), "e")
 
 
 def soft_clips(reads: DataFrame, least: int = 1) -> DataFrame:
     """A row per clipped end that no other alignment of the read explains."""
-    c, neg = F.col("cigar"), flag(F.col("flag"), 0x10)
-    own_first = C.first_aligned_offset(c, neg)
-    firsts = F.transform(C.parse_sa(F.col("sa")), lambda a: C.first_aligned_offset(C.parse(a["cigar"]), a["strand"] == "-"))
-    before, after = F.exists(firsts, lambda x: x < own_first), F.exists(firsts, lambda x: x > own_first)
-    explained_start = F.when(neg, after).otherwise(before)
-    explained_end = F.when(neg, before).otherwise(after)
-    start, end = C.start_clip(c, False), C.end_clip(c, False)
-    null = F.lit(None)
+    neg = flag(F.col("flag"), 0x10)
+    ok = _measured(reads.where(~flag(F.col("flag"), 0x4)), "cigar", "_c_")
+    start, end = F.col("_c_soft_start"), F.col("_c_soft_end")
+    ok = ok.where((start >= least) | (end >= least)).withColumn("_f", F.transform(_other_alignments(), lambda a: a["first"]))
+    own_first, _ = _offsets("_c_", neg)
+    before, after = F.exists("_f", lambda x: x < own_first), F.exists("_f", lambda x: x > own_first)
+    explained_start, explained_end = F.when(neg, after).otherwise(before), F.when(neg, before).otherwise(after)
+    null, last = F.lit(None), F.col("pos") + F.col("_c_ref") - 1
     a = _event("SC", _ident("SC", F.lit("b")), F.col("ref"), F.lit("-"), F.col("pos"), F.col("pos"), null, null, null, null, start, F.lit("S"), null)
-    last = _end(c, F.col("pos"))
     b = _event("SC", _ident("SC", F.lit("f")), F.col("ref"), F.lit("+"), last, last, null, null, null, null, end, F.lit("S"), null)
     both = F.array_compact(F.array(F.when((start >= least) & ~explained_start, a), F.when((end >= least) & ~explained_end, b)))
-    return _rows(reads.where(~flag(F.col("flag"), 0x4)).select(F.explode(both).alias("e")), "e")
+    return _rows(ok.select(F.explode(both).alias("e")), "e")
 
 
 def read_pairs(reads: DataFrame, most: int, concordant: Column) -> DataFrame:
     """Discordant pairs (DP) and mapped reads of an unmapped mate (UM): where the breakend can lie, given the largest fragment ``most``."""
-    c, mc = F.col("cigar"), F.col("mate_cigar")
     f = F.col("flag")
     neg, mate_neg = flag(f, 0x10), flag(f, 0x20)
     ok = reads.where(flag(f, 0x1) & ~flag(f, 0x4) & ~flag(f, 0x100) & ~flag(f, 0x800) & ~concordant)
+    ok = _measured(_measured(ok, "cigar", "_c_"), "mate_cigar", "_m_")
     mapped = ~flag(f, 0x8)
+    end, mate_end = F.col("pos") + F.col("_c_ref") - 1, F.col("mate_pos") + F.col("_m_ref") - 1
+
+    def toward(p: str, back: Column) -> Column:
+        return F.when(back, F.col(f"{p}start")).otherwise(F.col(f"{p}end"))
 
-    def interval(cig: Column, pos: Column, back: Column, mate_part: Column) -> tuple[Column, Column]:
-        toward = F.when(back, C.start_clip(cig)).otherwise(C.end_clip(cig))
-        width = F.lit(most) - C.read_length(cig, True) + toward - mate_part
-        end = _end(cig, pos)
-        return F.when(back, pos - width).otherwise(end), F.when(back, pos).otherwise(end + width)
+    def interval(p: str, pos: Column, last: Column, back: Column, mate_part: Column) -> tuple[Column, Column]:
+        width = F.lit(most) - F.col(f"{p}len") + toward(p, back) - mate_part
+        return F.when(back, pos - width).otherwise(last), F.when(back, pos).otherwise(last + width)
 
-    mate_len = C.read_length(mc, True) - F.when(mate_neg, C.start_clip(mc)).otherwise(C.end_clip(mc))
-    own_len = C.read_length(c, True) - F.when(neg, C.start_clip(c)).otherwise(C.end_clip(c))
+    mate_len, own_len = F.col("_m_len") - toward("_m_", mate_neg), F.col("_c_len") - toward("_c_", neg)
     facing = (F.col("ref") == F.col("mate_ref")) & (neg != mate_neg)
-    gap = F.when(facing & ~neg & (F.col("mate_pos") > _end(c, F.col("pos"))), F.col("mate_pos") - _end(c, F.col("pos")) - 1).when(facing & neg & (F.col("pos") > _end(mc, F.col("mate_pos"))), F.col("pos") - _end(mc, F.col("mate_pos")) - 1)
-    s1, e1 = interval(c, F.col("pos"), neg, F.when(mapped, mate_len).otherwise(1))
-    s2, e2 = interval(mc, F.col("mate_pos"), mate_neg, own_len)
-    e1, s1 = F.when(~neg & gap.isNotNull(), F.least(e1, _end(c, F.col("pos")) + gap)).otherwise(e1), F.when(neg & gap.isNotNull(), F.greatest(s1, F.col("pos") - gap)).otherwise(s1)
-    e2, s2 = F.when(~mate_neg & gap.isNotNull(), F.least(e2, _end(mc, F.col("mate_pos")) + gap)).otherwise(e2), F.when(mate_neg & gap.isNotNull(), F.greatest(s2, F.col("mate_pos") - gap)).otherwise(s2)
+    gap = F.when(facing & ~neg & (F.col("mate_pos") > end), F.col("mate_pos") - end - 1).when(facing & neg & (F.col("pos") > mate_end), F.col("pos") - mate_end - 1)
+    s1, e1 = interval("_c_", F.col("pos"), end, neg, F.when(mapped, mate_len).otherwise(1))
+    s2, e2 = interval("_m_", F.col("mate_pos"), mate_end, mate_neg, own_len)
+    # reads that face each other on one contig: no further than the gap between them
+    near = gap.isNotNull()
+    e1, s1 = F.when(~neg & near, F.least(e1, end + gap)).otherwise(e1), F.when(neg & near, F.greatest(s1, F.col("pos") - gap)).otherwise(s1)
+    e2, s2 = F.when(~mate_neg & near, F.least(e2, mate_end + gap)).otherwise(e2), F.when(mate_neg & near, F.greatest(s2, F.col("mate_pos") - gap)).otherwise(s2)
     d1, d2 = F.when(neg, "-").otherwise("+"), F.when(mate_neg, "-").otherwise("+")
-    usable = coords.flag(f, 0x1)
-    frag = coords.fragment_size(~neg, *C.unclipped_bounds(F.col("pos"), c), *C.unclipped_bounds(F.col("mate_pos"), mc), usable & facing)
+    frag = coords.fragment_size(~neg, F.col("pos") - F.col("_c_start"), end + F.col("_c_end"), F.col("mate_pos") - F.col("_m_start"), mate_end + F.col("_m_end"), facing)
     null = F.lit(None)
     dp = _event("RP", _ident("RP"), F.col("ref"), d1, s1, e1, F.col("mate_ref"), d2, s2, e2, frag, null, F.col("mate_mapq"), False)
     um = _event("UM", _ident("UM"), F.col("ref"), d1, s1, e1, null, null, null, null, null, null, null, False)

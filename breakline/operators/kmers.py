@@ -5,20 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import is_ambiguous, kmer_code, kmers
+from ..functions.seq import is_ambiguous, kmer_code
 
 
 #: Bases of a piece; a substring costs its offset, so k-mers are cut from short pieces and never from a whole sequence.
-PIECE = 256
+PIECE = 64
 
 
 def kmer_rows(seqs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(keep, off, kmer) of all unambiguous k-mers."""
+    """(keep, off, kmer) of all unambiguous k-mers.
+
+    Offsets are exploded and the k-mers cut by a plain projection, which is compiled; a lambda over an array is interpreted.
+    """
     starts = F.when(F.length("seq") >= k, F.sequence(F.lit(0), F.length("seq") - k, F.lit(PIECE)))
     pieces = seqs.select(*keep, "seq", F.explode(starts).alias("_o"))
     pieces = pieces.select(*keep, "_o", F.substring(F.col("seq"), F.col("_o") + 1, F.lit(PIECE + k - 1)).alias("_p"))
-    rows = pieces.select(*keep, "_o", is_ambiguous(F.col("_p")).alias("_a"), F.posexplode(kmers(F.col("_p"), k)).alias("_i", "kmer"))
-    return rows.where(~(F.col("_a") & is_ambiguous(F.col("kmer")))).select(*keep, (F.col("_o") + F.col("_i")).alias("off"), "kmer")
+    pieces = pieces.select(*keep, "_o", "_p", is_ambiguous(F.col("_p")).alias("_a"))
+    rows = pieces.select(*keep, "_o", "_p", "_a", F.explode(F.sequence(F.lit(0), F.length("_p") - k)).alias("_i"))
+    rows = rows.select(*keep, (F.col("_o") + F.col("_i")).alias("off"), F.substring(F.col("_p"), F.col("_i") + 1, F.lit(k)).alias("kmer"), "_a")
+    return rows.where(~(F.col("_a") & is_ambiguous(F.col("kmer")))).drop("_a")
 
 
 def count_kmers(seqs: DataFrame, k: int, per_read: bool = False, read: str = "read") -> DataFrame:
