@@ -54,8 +54,9 @@ _KINDS = [
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("ip6", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
+    ("card", r"(?<![\d.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])"),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?![\w-])|(?<![\w.+-])(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?![\w-])|(?<![\w+])\+\d{7,15}(?!\w)"),
     ("name", rf"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.?[ ])(?P<name>{_FULL_NAME})"),
     ("name", rf"(?:\b(?:[Mm]y name is|[Ii]ch heiße|[Mm]e llamo|[Jj]e m'appelle|[Mm]ein Name ist|[Mm]i nombre es|[Mm]on nom est|Name:|Contact:)[ ]+)(?P<named>{_FULL_NAME})"),
@@ -70,8 +71,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if not _HINT.search(text):
         return []
     taken: list[tuple[int, int, str]] = []
+    rest = text
     for kind, pattern in _PATTERNS:
-        for m in pattern.finditer(text):
+        before = len(taken)
+        for m in pattern.finditer(rest):
             group = m.lastgroup
             a, b = m.span(group) if group else m.span()
             digits = sum(c.isdigit() for c in text[a:b])
@@ -79,8 +82,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 continue
             if kind == "phone" and not re.search(r"[+(]|[ .-].*[ .-]|^\d{3,5}[ .-]\d{4}$", text[a:b]):
                 continue
-            if all(b <= x or a >= y for x, y, _ in taken):
-                taken.append((a, b, kind))
+            taken.append((a, b, kind))
+        for a, b, _ in taken[before:]:  # what is found is hidden from the kinds that follow
+            rest = f"{rest[:a]}{chr(0) * (b - a)}{rest[b:]}"
     return sorted(taken)
 
 

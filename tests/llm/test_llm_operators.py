@@ -267,6 +267,15 @@ def test_pii(spark, docs, rows, empty):
     assert pii_surrogates.pii_report(empty).count() == 0
 
 
+def test_pii_side_by_side():
+    k = pii_surrogates.Keyed()
+    parts = ["+1 (826) 555-4081", "190.137.223.20", "4952935900253052", "4111 1111 1111 1111", "a.b@c.example.com", "123-45-6789"]
+    for i in range(len(parts)):
+        order = parts[i:] + parts[:i]
+        new, said = pii_surrogates.replace("x " + " ".join(order) + " y", k)
+        assert [o for _, o, _ in said] == order and not any(p in new for p in parts)
+
+
 def test_surrogates_are_one_to_one(spark):
     k = pii_surrogates.Keyed(b"k")
     for size in (2, 3, 10, 97, 1000):
