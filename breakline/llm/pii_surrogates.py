@@ -121,25 +121,23 @@ class Keyed:
             if value < size:
                 return value
 
-    def letters(self, s: str, tweak: str) -> str:
-        """Digits to digits, letters to letters of the same script and case; all else stays."""
-        sizes, at = [], []
-        for c in s:
-            alphabet = _alphabet(c)
-            if alphabet:
-                sizes.append(len(alphabet))
-                at.append(alphabet.index(c))
+    def letters(self, s: str, tweak: str, fold: bool = True) -> str:
+        """Digits to digits, letters to letters of the same script and case; all else stays. With ``fold`` spellings that differ in case alone get surrogates that do, too."""
+        low = [_LOWER.get(c, c) if fold else c for c in s]
+        alphabets = [_alphabet(c) for c in low]
         value, total = 0, 1
-        for n, i in zip(sizes, at, strict=True):
-            value, total = value * n + i, total * n
-        shape = "".join("".join(("d" if c.isdigit() else "u" if c.isupper() else "l") if _alphabet(c) else c) for c in s)
+        for c, a in zip(low, alphabets, strict=True):
+            if a:
+                value, total = value * len(a) + a.index(c), total * len(a)
+        shape = "".join(a[0] if a else c for c, a in zip(low, alphabets, strict=True))
         value = self.permute(value, total, f"{tweak}|{shape}")
-        out: list[int] = []
-        for n in reversed(sizes):
-            value, i = divmod(value, n)
-            out.append(i)
-        got = iter(reversed(out))
-        return "".join(_alphabet(c)[next(got)] if _alphabet(c) else c for c in s)
+        out: list[str] = []
+        for c, a, was in zip(reversed(low), reversed(alphabets), reversed(s), strict=True):
+            if a:
+                value, i = divmod(value, len(a))
+                c = a[i].upper() if c != was else a[i]
+            out.append(c)
+        return "".join(reversed(out))
 
     def surrogate(self, kind: str, s: str) -> str:
         if (kind, s) not in self.seen:
@@ -160,7 +158,7 @@ class Keyed:
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body) and len(body) >= 16:
             got = f"{self.permute(int(body, 16), 16 ** len(body), f'hex{len(body)}'):0{len(body)}x}"
             return head + (got.upper() if body.upper() == body else got)
-        return head + self.letters(body, "secret")
+        return head + self.letters(body, "secret", False)
 
     def _ip(self, s: str) -> str:
         value = 0
@@ -233,10 +231,12 @@ _ALPHABETS = [
     "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
-    "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœß",
+    "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ",
     "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ",
 ]
 _ALPHABET_OF = {c: a for a in _ALPHABETS for c in a}
+#: Lower case of the capitals above; other letters keep their case class as an alphabet of its own.
+_LOWER = {c.upper(): c for a in _ALPHABETS for c in a if c.islower() and c.upper() in _ALPHABET_OF}
 
 
 def _alphabet(c: str) -> str:

@@ -283,6 +283,10 @@ def test_surrogates_are_one_to_one(spark):
     for (script, gender), names in pii_surrogates.GIVEN.items():
         new = [k.surrogate("name", n) for n in names]
         assert sorted(new) == sorted(names) and not any(a == b for a, b in zip(names, new, strict=True)), (script, gender)
+    for kind, name in (("name", "Petrova"), ("name", "Иванов"), ("name", "Zoë-Çelik"), ("email", "Ab.c9@Host.example.com")):
+        new = k.surrogate(kind, name)
+        assert new != name and k.surrogate(kind, name.upper()).upper() == new.upper() and k.surrogate(kind, name.lower()) == new.lower()
+        assert [c.isupper() for c in new] == [c.isupper() for c in name]
     card = k.surrogate("card", "4111 1111 1111 1111")
     d = [int(c) for c in card if c.isdigit()]
     assert card.count(" ") == 3 and pii_surrogates._luhn(d[:-1]) == str(d[-1])
