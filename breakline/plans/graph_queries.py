@@ -169,6 +169,10 @@ def j25_closure(spark, d):
 _DIRECT = "SELECT CAST(1000000 + o_custkey AS BIGINT) AS taxid, CAST(count(*) AS BIGINT) AS reads FROM {orders} GROUP BY o_custkey"
 
 
+#: Taxa with a sequence: those in credit.
+_HAS = "SELECT CAST(1000000 + c_custkey AS BIGINT) AS taxid FROM {customer} WHERE c_acctbal > 0"
+
+
 @query(f", {_TREE} SELECT ancestor AS taxid, CAST(sum(reads) AS BIGINT) AS tree_reads FROM direct JOIN up USING (taxid) GROUP BY 1", tax=A.TAX, direct=_DIRECT)
 def a31_tree_sums(spark, d):
     return taxonomy.tree_sums(A.view(spark, d, _DIRECT), A.view(spark, d, A.TAX), 4)
@@ -176,13 +180,14 @@ def a31_tree_sums(spark, d):
 
 @query(
     f""", {_TREE}, t AS (SELECT ancestor AS taxid, CAST(sum(reads) AS BIGINT) AS tree_reads FROM direct JOIN up USING (taxid) GROUP BY 1), g AS (SELECT taxid, ancestor AS grp FROM (SELECT up.taxid, ancestor, row_number() OVER (PARTITION BY up.taxid ORDER BY steps, ancestor) AS r FROM up JOIN tax x ON x.taxid = up.ancestor WHERE x.rank = 'genus') WHERE r = 1),
-k AS (SELECT t.taxid, coalesce(grp, t.taxid) AS "group", tree_reads, coalesce(reads, 0) AS direct_reads FROM t LEFT JOIN direct USING (taxid) LEFT JOIN g USING (taxid) WHERE tree_reads >= 5 AND t.taxid % 3 <> 0)
+k AS (SELECT t.taxid, coalesce(grp, t.taxid) AS "group", tree_reads, coalesce(reads, 0) AS direct_reads FROM t LEFT JOIN direct USING (taxid) LEFT JOIN g USING (taxid) JOIN has USING (taxid) WHERE tree_reads >= 5)
 SELECT * FROM (SELECT taxid, "group", tree_reads, direct_reads FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY direct_reads DESC, tree_reads DESC, taxid) AS r FROM k) WHERE r <= 2 ORDER BY direct_reads DESC, tree_reads DESC, taxid LIMIT 20)""",
-    tax=A.TAX, direct=_DIRECT,
+    tax=A.TAX, direct=_DIRECT, has=_HAS,
 )
 def a31_rank_taxa(spark, d):
     tax, direct = A.view(spark, d, A.TAX), A.view(spark, d, _DIRECT)
-    rep = taxonomy.tree_sums(direct, tax, 4).join(direct, "taxid", "left").select("taxid", "tree_reads", F.coalesce("reads", F.lit(0)).cast("long").alias("direct_reads"), (F.col("taxid") % 3 != 0).alias("has_sequence"))
+    has = A.view(spark, d, _HAS).withColumn("has_sequence", F.lit(True))
+    rep = taxonomy.tree_sums(direct, tax, 4).join(direct, "taxid", "left").join(has, "taxid", "left").select("taxid", "tree_reads", F.coalesce("reads", F.lit(0)).cast("long").alias("direct_reads"), F.coalesce("has_sequence", F.lit(False)).alias("has_sequence"))
     return taxonomy.rank_taxa(rep, tax, "genus", 5, 2, 20, 4)
 
 

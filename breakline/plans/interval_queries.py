@@ -73,16 +73,16 @@ def a11_binned_coverage(spark, d):
 
 
 @query(
-    """, c AS (SELECT DISTINCT ref, start AS p FROM reg WHERE start <= 5000), b AS (SELECT ref, 1 + 500 * k AS s, 500 + 500 * k AS e FROM (SELECT DISTINCT ref FROM reg), range(0, 10) r(k)),
+    """, c AS (SELECT DISTINCT ref, start AS p FROM reg), b AS (SELECT ref, 1 + 500 * k AS s, 500 + 500 * k AS e FROM (SELECT DISTINCT ref FROM reg), range(0, 41) r(k)),
 x AS (SELECT b.ref, s, p AS e FROM b JOIN c ON b.ref = c.ref AND p BETWEEN s AND e - 1 UNION SELECT ref, s, e FROM b)
 SELECT ref, CAST(coalesce(lag(e) OVER (PARTITION BY ref, s ORDER BY e) + 1, s) AS BIGINT) AS start, CAST(e AS BIGINT) AS "end" FROM x""",
     reg=A.REGIONS,
 )
 def a11_split_bins(spark, d):
     reg = A.view(spark, d, A.REGIONS)
-    k = reg.select("ref").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    k = reg.select("ref").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(40))))
     b = k.select("ref", (F.col("k") * 500 + 1).cast("long").alias("start"), (F.col("k") * 500 + 500).cast("long").alias("end"))
-    return I.split_bins(b, reg.where("start <= 5000").select("ref", F.col("start").cast("long").alias("pos")).distinct(), ["ref"])
+    return I.split_bins(b, reg.select("ref", F.col("start").cast("long").alias("pos")).distinct(), ["ref"])
 
 
 @query(

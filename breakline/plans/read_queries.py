@@ -18,10 +18,9 @@ from . import adapters as A
 from .registry import query
 
 
-@query('SELECT read_id FROM reads r WHERE EXISTS (SELECT 1 FROM reg g WHERE g.region_id < 50 AND g.ref = r.ref AND r.start <= g."end" + 20 AND greatest(g.start - 20, 1) <= r."end")', reads=A.READS, reg=A.REGIONS)
+@query('SELECT read_id FROM reads r WHERE EXISTS (SELECT 1 FROM reg g WHERE g.ref = r.ref AND r.start <= g."end" + 20 AND greatest(g.start - 20, 1) <= r."end")', reads=A.READS, reg=A.REGIONS)
 def s2_region_scan(spark, d):
-    reg = A.view(spark, d, A.REGIONS).where("region_id < 50")
-    return reads.scan_regions(A.view(spark, d, A.READS).select("read_id", "ref", "start", "end"), reg, 20, width=200).select("read_id")
+    return reads.scan_regions(A.view(spark, d, A.READS).select("read_id", "ref", "start", "end"), A.view(spark, d, A.REGIONS), 20, width=200).select("read_id")
 
 
 @query("SELECT read_name, CAST(count(*) AS BIGINT) AS alignments, CAST(count(DISTINCT CASE WHEN flag & 129 = 129 THEN 1 ELSE 0 END) AS BIGINT) AS segments FROM reads GROUP BY 1", reads=A.READS)
@@ -173,10 +172,10 @@ def k11_evidence_csv(spark, d):
     return reads.evidence_csv(A.view(spark, d, A.EV), ["evidence_id", "ref1", "dir1", "qs"])
 
 
-@query("SELECT read_id FROM reads WHERE read_name IN (SELECT read_name FROM reads r JOIN reg g ON g.ref = r.ref AND r.flag & 4 = 0 AND r.start <= g.\"end\" AND g.start <= r.start + 49 AND g.region_id < 20)", reads=A.READS, reg=A.REGIONS)
+@query("SELECT read_id FROM reads WHERE read_name IN (SELECT read_name FROM reads r JOIN reg g ON g.ref = r.ref AND r.flag & 4 = 0 AND r.start <= g.\"end\" AND g.start <= r.start + 49)", reads=A.READS, reg=A.REGIONS)
 def c_overlapping_fragments(spark, d):
     r = A.view(spark, d, A.READS).withColumn("pos", F.col("start")).withColumn("cigar", C.parse(F.lit("50M")))
-    return sinks.overlapping_fragments(r, A.view(spark, d, A.REGIONS).where("region_id < 20")).select("read_id")
+    return sinks.overlapping_fragments(r, A.view(spark, d, A.REGIONS)).select("read_id")
 
 
 @query(
