@@ -189,3 +189,100 @@ def predecessor_breakend(start: Column, cigar: Column, negative: Column) -> Colu
     """Where the read enters this alignment: struct (dir, pos)."""
     end = start + reference_length(cigar) - 1
     return F.struct(F.when(negative, F.lit("+")).otherwise(F.lit("-")).alias("dir"), F.when(negative, end).otherwise(start).alias("pos"))
+
+
+def trim(cigar: Column, head: Column, tail: Column) -> Column:
+    """Without ``head`` read bases at the start and ``tail`` at the end; what has no read bases at an end goes, too."""
+    n = read_length(cigar)
+
+    def cut(x: Column) -> Column:
+        eats = x["op"].isin(*READ_OPS)
+        left = F.greatest(F.least(x["read_off"] + x["len"], n - tail) - F.greatest(x["read_off"], head), F.lit(0))
+        inside = (x["read_off"] > head) & (x["read_off"] < n - tail)
+        return F.struct(F.when(eats, left).when(inside, x["len"]).otherwise(0).alias("len"), x["op"].alias("op"))
+
+    return clean(F.transform(with_offsets(cigar), cut))
+
+
+def trim_clips(cigar: Column) -> Column:
+    return F.filter(cigar, lambda x: ~x["op"].isin("S", "H"))
+
+
+def with_soft_clips(cigar: Column, head: Column, tail: Column) -> Column:
+    """Soft clips of so many more bases at either end; hard clips stay outermost."""
+    def clip(n: Column) -> Column:
+        return F.array(F.struct(n.cast("int").alias("len"), F.lit("S").alias("op")))
+
+    def hard(c: Column) -> Column:
+        return F.filter(F.slice(c, F.lit(1), F.least(F.size(c), F.lit(1))), lambda x: x["op"] == "H")
+
+    inner = F.filter(cigar, lambda x: x["op"] != "H")
+    return clean(F.concat(hard(cigar), clip(head), inner, clip(tail), hard(F.reverse(cigar))))
+
+
+def offset_of(cigar: Column, read_off: Column) -> Column:
+    """Reference offset of a read base from the first aligned one: the next aligned base's for bases that aren't aligned; null after the last."""
+    later = F.filter(with_offsets(cigar), lambda x: x["op"].isin(*MAPPED_OPS) & (x["read_off"] + x["len"] > read_off))
+    x = F.get(later, 0)
+    return x["ref_off"] + F.greatest(read_off - x["read_off"], F.lit(0))
+
+
+def ungapped(cigar: Column, from_start: bool) -> Column:
+    """The aligned part up to the first gap (or from the last one), the rest clipped."""
+    c = cigar if from_start else F.reverse(cigar)
+    state = F.struct(F.array().cast(TYPE).alias("out"), F.lit(False).alias("gap"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = acc["gap"] | x["op"].isin("D", "I", "N", "P")
+        kept = F.struct(F.when(gap & ~x["op"].isin(*READ_OPS), 0).otherwise(x["len"]).alias("len"), F.when(gap & (x["op"] != "H"), F.lit("S")).otherwise(x["op"]).alias("op"))
+        return F.struct(F.concat(acc["out"], F.array(kept)).alias("out"), gap.alias("gap"))
+
+    got = F.aggregate(c, state, step, lambda a: a["out"])
+    return clean(got if from_start else F.reverse(got))
+
+
+def common_bases(a: Column, b: Column) -> Column:
+    """Read bases that both CIGARs align."""
+    def spans(c: Column) -> Column:
+        return F.transform(F.filter(with_offsets(c), lambda x: x["op"].isin(*MAPPED_OPS)), lambda x: F.struct(x["read_off"].alias("s"), (x["read_off"] + x["len"]).alias("e")))
+
+    y = spans(b)
+    return F.aggregate(spans(a), F.lit(0), lambda n, p: n + F.aggregate(y, F.lit(0), lambda m, q: m + F.greatest(F.least(p["e"], q["e"]) - F.greatest(p["s"], q["s"]), F.lit(0))))
+
+
+def aligned_pairs(cigar: Column) -> Column:
+    """Aligned stretches: array of (read_off, ref_off, len)."""
+    return F.transform(F.filter(with_offsets(cigar), lambda x: x["op"].isin(*MAPPED_OPS)), lambda x: F.struct(x["read_off"].alias("read_off"), x["ref_off"].alias("ref_off"), x["len"].alias("len")))
+
+
+def recomputed_nm(cigar: Column, bases: Column, ref_bases: Column) -> Column:
+    """Edit distance of a read to the reference bases that it spans: mismatches of aligned bases, and indel bases."""
+    def mismatches(x: Column) -> Column:
+        p, q = F.substring(bases, x["read_off"] + 1, x["len"]), F.substring(ref_bases, x["ref_off"] + 1, x["len"])
+        return F.size(F.filter(F.arrays_zip(F.split(p, "").alias("a"), F.split(q, "").alias("b")), lambda z: F.upper(z["a"]) != F.upper(z["b"])))
+
+    return F.aggregate(aligned_pairs(cigar), F.lit(0), lambda n, x: n + mismatches(x)) + length_of(cigar, ("I", "D"))
+
+
+def unclip_matches(cigar: Column, bases: Column, ref_before: Column, ref_after: Column) -> Column:
+    """Soft-clipped bases next to the aligned part that equal the reference beside it become aligned (ref_before ends where the alignment starts)."""
+    from .seq import common_prefix, common_suffix
+
+    n, head, tail = F.length(bases), start_clip(cigar, False), end_clip(cigar, False)
+    a = F.least(common_suffix(F.substring(bases, F.lit(1), head), ref_before), head)
+    b = F.least(common_prefix(F.substring(bases, n - tail + 1, tail), ref_after), tail)
+    inner = F.filter(cigar, lambda x: x["op"] != "S")
+
+    def part(k: Column, op: str) -> Column:
+        return F.array(F.struct(k.cast("int").alias("len"), F.lit(op).alias("op")))
+
+    return clean(F.concat(part(head - a, "S"), part(a, "M"), inner, part(b, "M"), part(tail - b, "S")))
+
+
+def hard_clips_to_n(cigar: Column, bases: Column) -> tuple[Column, Column]:
+    """Hard clips as soft clips, their bases as N: (cigar, bases)."""
+    hard = F.filter(cigar, lambda x: x["op"] == "H")
+    head = F.when(F.get(cigar, 0)["op"] == "H", F.get(cigar, 0)["len"]).otherwise(0)
+    tail = F.when((F.size(hard) > F.when(head > 0, 1).otherwise(0)), F.element_at(hard, -1)["len"]).otherwise(0)
+    soft = F.transform(cigar, lambda x: F.struct(x["len"].alias("len"), F.when(x["op"] == "H", F.lit("S")).otherwise(x["op"]).alias("op")))
+    return clean(soft), F.concat(F.repeat(F.lit("N"), head), bases, F.repeat(F.lit("N"), tail))

@@ -177,6 +177,22 @@ def test_cigar(spark):
     assert [value(spark, C.imprecision_width(C.parse(F.lit(t)))) for t in ("1X5S", "1X8N1X20S", "30M")] == [0, 9, 0]
 
 
+def test_more_cigar(spark):
+    def show(col):
+        return value(spark, C.render(col))
+
+    c = C.parse(F.lit("3S10M2D5M2I4M"))
+    assert show(C.trim(c, F.lit(5), F.lit(5))) == "8M2D5M1I" and show(C.trim(c, F.lit(13), F.lit(0))) == "5M2I4M"
+    assert show(C.trim_clips(C.parse(F.lit("2H3S4M5S")))) == "4M" and show(C.with_soft_clips(C.parse(F.lit("2H3S4M")), F.lit(1), F.lit(2))) == "2H4S4M2S"
+    assert [value(spark, C.offset_of(c, F.lit(k))) for k in (0, 3, 12, 13, 18, 23)] == [0, 0, 9, 12, 17, 20]
+    assert show(C.ungapped(c, True)) == "3S10M11S" and show(C.ungapped(c, False)) == "20S4M"
+    assert value(spark, C.common_bases(C.parse(F.lit("5M5S")), C.parse(F.lit("3S7M")))) == 2
+    assert value(spark, C.recomputed_nm(C.parse(F.lit("2S3M1D2M")), F.lit("NNACGTT"), F.lit("ACAGTA"))) == 3
+    assert show(C.unclip_matches(C.parse(F.lit("3S4M3S")), F.lit("ACGTTTTGAC"), F.lit("TTCG"), F.lit("GATT"))) == "1S8M1S"
+    a, b = C.hard_clips_to_n(C.parse(F.lit("2H3M1S4H")), F.lit("ACGT"))
+    assert show(a) == "2S3M5S" and value(spark, b) == "NNACGTNNNN"
+
+
 def test_tail_phred(spark):
     df = spark.createDataFrame([("S", 0, 4), ("S", 1, 0), ("S", 2, 1)], "op string, length int, n long")
     assert [round(r["phred"], 2) for r in metrics.tail_phred(df).orderBy("length").collect()] == [0.0, 6.99, 6.99]
