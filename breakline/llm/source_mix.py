@@ -6,6 +6,11 @@ weight until none is above, which is the level L that solves  sum of min(most *
 rate = target / size, and a document is taken floor(rate) times plus once more with probability rate - floor(rate), decided
 by a hash of seed and id, so that reruns agree.
 
+Independent draws of few or very unequal documents miss the target by chance, so the draws are conditioned on their sum: the hash is cut
+into ``BINS`` equal steps, words are summed per source and step, and the threshold of a source is the step at which the words below it come
+nearest to what the fraction asks for. With many documents that is the fraction itself, to within a step; each document is still decided alone, by
+its hash and one number of its source.
+
 Each source's size comes from partial sums, so a source that holds a third of all rows costs one row per task. The table of
 sources is broadcast only if it is counted to be small; otherwise it is joined by shuffle, where adaptive execution splits
 a hot source.
@@ -28,6 +33,8 @@ SHARE = 1.5
 #: A source's target is at most this many times its size.
 MOST = 2
 SEED = "mix-1"
+#: Steps of the hash at which a source's threshold can lie.
+BINS = 1024
 #: Bits of the hash that the decision uses.
 _BITS = 52
 WORD = r"[^\x20\x09-\x0D]+"
@@ -44,12 +51,17 @@ def unit_hash(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, _BITS // 4), 16, 10).cast("long") / F.lit(float(1 << _BITS))
 
 
+def hash_bin(id_col: Column, seed: str = SEED) -> Column:
+    return F.floor(unit_hash(id_col, seed) * F.lit(float(BINS))).cast("int")
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``sizes`` (source, size) per document to (source, source_size, target) per source.
+    """``sizes`` (source, bin, size) per document to (source, source_size, target, times, threshold) per source.
 
-    The windows run over one row per source, not over documents.
+    Documents are summed per source and bin before anything else; the windows run over ``BINS`` rows per source, or over one.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    steps = sizes.groupBy("source", "bin").agg(F.sum("size").alias("words"))
+    per = steps.groupBy("source").agg(F.sum("words").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     at = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), at + 1)
@@ -63,21 +75,29 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     total = F.sum("source_size").over(every) * F.lit(share)
     per = per.withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
     per = per.withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(every))
-    return per.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
+    per = per.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
+    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    per = per.withColumn("times", F.floor(rate).cast("int")).withColumn("need", F.col("target") - F.col("times") * F.col("source_size"))
+    # words below each step; step 0 has none
+    w = Window.partitionBy("source").orderBy("bin")
+    below = steps.select(F.col("source").alias("_s"), (F.col("bin") + 1).alias("step"), F.sum("words").over(w).alias("sum"))
+    first = per.select(F.col("source").alias("_s"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("sum"))
+    tried = per.join(below.unionByName(first), F.col("source").eqNullSafe(F.col("_s")))
+    best = F.min(F.struct(F.abs(F.col("sum") - F.col("need")).alias("away"), F.col("step"))).alias("b")
+    got = tried.groupBy("source", "source_size", "target", "times").agg(best)
+    return got.select("source", "source_size", "target", "times", F.col("b.step").alias("threshold"))
 
 
 def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with struct ``_mix`` (size, source_size, target, copies)."""
-    # AQE deals the per-source join anew by size; only the columns needed travel
-    sized = docs.withColumn("_size", size_of(F.col(text_col)))
-    per = source_targets(docs.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size")), weights, share, most)
+    sizes = docs.select(F.col(source_col).alias("source"), hash_bin(F.col(id_col), seed).alias("bin"), size_of(F.col(text_col)).alias("size"))
+    per = source_targets(sizes, weights, share, most)
     n_sources = docs.agg(F.count_distinct(F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")))).first()[0]
-    per = per.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    per = per.select(*[F.col(c).alias(f"_{c}") for c in ("source", "source_size", "target", "times", "threshold")])
     if n_sources <= BROADCAST_ROWS:
         per = F.broadcast(per)
-    rate = F.when(F.col("_source_size") > 0, F.least(F.col("_target") / F.col("_source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + F.when(unit_hash(F.col(id_col), seed) < rate - F.floor(rate), 1).otherwise(0)
-    joined = sized.join(per, F.col(source_col).eqNullSafe(F.col("_source")), "left")
+    copies = F.col("_times") + F.when(hash_bin(F.col(id_col), seed) < F.col("_threshold"), 1).otherwise(0)
+    joined = docs.withColumn("_size", size_of(F.col(text_col))).join(per, F.col(source_col).eqNullSafe(F.col("_source")), "left")
     mix = F.struct(F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.cast("int").alias("copies"))
     return joined.withColumn("_mix", mix).select(*[docs[c] for c in docs.columns], "_mix")
 
@@ -97,9 +117,12 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
 ORACLE_SQL = """
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
+         CAST(floor(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * 1024.0::DOUBLE) AS INTEGER) AS bin FROM documents
+), steps AS (
+  SELECT source, bin, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY source, bin
 ), per AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+  SELECT source, CAST(sum(words) AS BIGINT) AS source_size FROM steps GROUP BY source
 ), weighed AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
          source_size * 2.0::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE AS total FROM per
@@ -111,10 +134,14 @@ WITH sized AS (
 ), targets AS (
   SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM weighed, levels
 ), rated AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
-         CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(s.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+  SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END) AS INTEGER) AS times FROM targets
+), below AS (
+  SELECT source, bin + 1 AS step, sum(words) OVER (PARTITION BY source ORDER BY bin) AS words FROM steps UNION ALL SELECT source, 0, 0 FROM per
+), chosen AS (
+  SELECT source, source_size, target, times, step FROM (
+    SELECT r.*, b.step, row_number() OVER (PARTITION BY r.source ORDER BY abs(b.words::DOUBLE - (r.target - r.times * r.source_size)), b.step) AS k
+    FROM rated r JOIN below b ON r.source IS NOT DISTINCT FROM b.source) WHERE k = 1
 )
-SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM rated
+SELECT s.doc_id, s.size, c.source_size, c.target, CAST((c.times + CASE WHEN s.bin < c.step THEN 1 ELSE 0 END) * s.size AS BIGINT) AS taken
+FROM sized s JOIN chosen c ON s.source IS NOT DISTINCT FROM c.source
 """
