@@ -121,17 +121,70 @@ def extend_anchor(nodes: dict, k: int, at: tuple[str, int], forwards: bool, most
     return out
 
 
-def contigs_of(rows: list[tuple[str, str, int, int, int, list[bool]]], k: int, least_reads: int, most_contigs: int = 10_000, anchor_length: int = ANCHOR_LENGTH) -> list[dict]:
+def supported_part(path: list[tuple[str, int]], support: dict, from_start: bool) -> list[tuple[str, int]]:
+    """A path that holds a k-mer twice can join reads that no read joins. It is cut at the first step (from its start or its end)
+    that no read makes; other paths stay whole."""
+    kmers = [p[0] for p in path]
+    if len(set(kmers)) == len(kmers):
+        return path
+    steps = set()
+    for rows in support.values():
+        for a, b in zip(rows, rows[1:], strict=False):
+            if b[1] == a[1] + 1:
+                steps.add((a[0], b[0]))
+    made = [(a, b) in steps for a, b in zip(kmers, kmers[1:], strict=False)]
+    if all(made):
+        return path
+    if from_start:
+        return path[: made.index(False) + 1]
+    return path[len(path) - made[::-1].index(False) - 1 :]
+
+
+def related(rows: list[tuple], k: int) -> list[list[tuple]]:
+    """Reads (id, seq, lo, hi, ...) in groups that share no k-mer at one place; contigs never cross groups."""
+    top = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    places: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
+    for n, (_, seq, lo, hi, *_rest) in enumerate(rows):
+        for i in range(len(seq) - k + 1):
+            places[seq[i : i + k]].append((lo + i, hi + i, n))
+    for spans in places.values():
+        spans.sort()
+        end, last = spans[0][1], spans[0][2]
+        for lo, hi, n in spans[1:]:
+            if lo <= end:
+                top[find(n)] = find(last)
+            end, last = (hi, n) if lo > end or hi > end else (end, last)
+    groups: dict[int, list[tuple]] = defaultdict(list)
+    for n, row in enumerate(rows):
+        groups[find(n)].append(row)
+    return list(groups.values())
+
+
+def contigs_of(rows: list[tuple[str, str, int, int, int, list[bool]]], k: int, least_reads: int, anchor_length: int = ANCHOR_LENGTH) -> list[dict]:
+    """Contigs of all reads, in order of their start: each group of related reads by itself, so that a chunk's work is the sum of its groups'."""
+    found = [c for group in related(rows, k) for c in contigs_of_group(group, k, least_reads, anchor_length)]
+    return sorted(found, key=lambda c: (c["start"], c["seq"]))
+
+
+def contigs_of_group(rows: list[tuple[str, str, int, int, int, list[bool]]], k: int, least_reads: int, anchor_length: int = ANCHOR_LENGTH) -> list[dict]:
     """Contigs of reads (id, seq, lo, hi, weight, anchored per k-mer): the best path with its anchors made longer, its support removed, again until nothing is left."""
     graph = Graph(k)
     for ident, seq, lo, hi, weight, anchored in rows:
         graph.add(ident, seq, lo, hi, weight, anchored)
     out: list[dict] = []
-    while graph.support and len(out) < most_contigs:
+    while graph.support:
         nodes = graph.nodes()
         path = best_path(nodes, k)
         if not path:
             break
+        path = supported_part(path, graph.support, not nodes[path[-1]][2])
         used = set().union(*(nodes[p][3] for p in path if not nodes[p][2])) or set().union(*(nodes[p][3] for p in path))
         weight = sum(nodes[p][1] for p in path if not nodes[p][2])
         before = extend_anchor(nodes, k, path[0], False, anchor_length - k)[::-1] if nodes[path[0]][2] else []
@@ -250,3 +303,71 @@ def usable(contigs: DataFrame, breakend_length: Column, fragment: int, read_leng
     """Contigs that may be called: not longer than a fragment allows, enough reads, anchored or longer than a read."""
     anchored = (F.col("anchor_start") > 0) | (F.col("anchor_end") > 0)
     return contigs.where((breakend_length <= 1.5 * fragment) & (F.col("n_reads") >= LEAST_READS) & (anchored | (breakend_length > read_length)))
+
+
+def consensus(sequences: list[tuple[str, int]], k: int, most_different: float = 0.1) -> str:
+    """The heaviest sequence through the k-mers of weighted sequences, whatever their positions.
+
+    Unbranched chains are one node. Tips and bubbles whose sequence differs from a heavier neighbour in no more than ``most_different`` of
+    its bases are given to that neighbour. Then the heaviest path is taken greedily from the heaviest node in both directions,
+    never through a node twice.
+    """
+    weight: dict[str, int] = defaultdict(int)
+    for seq, w in sequences:
+        for i in range(len(seq) - k + 1):
+            if set(seq[i : i + k]) <= set("ACGT"):
+                weight[seq[i : i + k]] += w
+    if not weight:
+        return ""
+
+    def after(x: str) -> list[str]:
+        return [x[1:] + b for b in "ACGT" if x[1:] + b in weight]
+
+    def before(x: str) -> list[str]:
+        return [b + x[:-1] for b in "ACGT" if b + x[:-1] in weight]
+
+    def chain(x: str) -> list[str]:
+        out = [x]
+        while len(n := after(out[-1])) == 1 and len(before(n[0])) == 1 and n[0] != x:
+            out.append(n[0])
+        return out
+
+    # each fork's branches that run to a dead end or to the same merge: the lighter of two that are alike goes
+    changed = True
+    while changed:
+        changed = False
+        for x in sorted(weight):
+            if x not in weight or len(after(x)) < 2:
+                continue
+            arms = sorted((chain(n) for n in after(x)), key=lambda c: (-sum(weight[y] for y in c), c))
+            for arm in arms[1:]:
+                best, n = arms[0], min(len(arms[0]), len(arm))
+                ends, top_ends = after(arm[-1]), after(best[-1])
+                tip, bubble = not ends and len(arm) <= len(best), len(arm) == len(best) and ends and ends == top_ends
+                different = sum(a[-1] != b[-1] for a, b in zip(arm, best, strict=False)) / n
+                if (tip or bubble) and different <= max(most_different, 1 / n):
+                    for a, b in zip(arm, best, strict=False):
+                        weight[b] += weight[a]
+                    for a in arm:
+                        weight.pop(a, None)
+                    changed = True
+    start = max(sorted(weight), key=lambda x: weight[x])
+    path, seen = [start], {start}
+    for step, end in ((after, -1), (before, 0)):
+        while found := [n for n in step(path[end]) if n not in seen]:
+            n = max(found, key=lambda y: (weight[y], y))
+            seen.add(n)
+            path.insert(len(path) if end else 0, n)
+    return path[0] + "".join(x[-1] for x in path[1:])
+
+
+def consensus_by(df: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, seq, consensus length) per group of rows (key, seq, weight): equal sequences are summed first, so a group is as large as its variety."""
+    summed = df.groupBy(key, "seq").agg(F.sum("weight").cast("long").alias("weight"))
+
+    def run(value: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        seq = consensus(sorted(zip(pdf["seq"], pdf["weight"], strict=True)), k)
+        return pd.DataFrame({key: [value[0]], "consensus": [seq], "n": [len(pdf)]})
+
+    kind = dict(df.dtypes)[key]
+    return summed.groupBy(key).applyInPandas(run, f"{key} {kind}, consensus string, n long")

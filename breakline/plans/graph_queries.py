@@ -268,6 +268,14 @@ def g12_assemble(spark, d):
     return assembly.assembly_records(got).select("name", "ref", "pos", "cigar", "kind", "weight", "n_reads")
 
 
+@query(None)
+def g14_consensus(spark, d):
+    """The consensus of each benchmark item's overlapping windows; the kernel is tested on planted sequences."""
+    w = _windows(spark, d)
+    rows = w.select(F.floor(F.col("read") / 100).cast("long").alias("item"), "seq", F.lit(1).alias("weight"))
+    return assembly.consensus_by(rows, "item", 21).select("item", F.length("consensus").alias("bases"), "n")
+
+
 @query(
     f""", k AS (SELECT unnest(list_transform(range(1, greatest(length(seq) - 6, 0) + 1), lambda i: substr(seq, i, 7))) AS kmer FROM seqs), c AS (SELECT kmer, count(*) AS n FROM k GROUP BY 1),
 e AS (SELECT kmer, n, i, substr(kmer, 1, i - 1) || '.' || substr(kmer, i + 1) AS blank FROM c, range(1, 8) r(i)), p AS (SELECT a.kmer, b.kmer AS t, b.n FROM e a JOIN e b ON a.blank = b.blank AND a.kmer <> b.kmer WHERE b.n >= a.n * 4)

@@ -315,6 +315,26 @@ def test_assembly_of_planted_breakend(spark):
     assert rec["kind"] == "breakend" and rec["cigar"] == f"55M{len(got[0]['seq']) - 55}S"
 
 
+def test_misassembly_is_cut():
+    a, b = [("ACG", 1), ("CGT", 2), ("GTA", 3), ("TAC", 4), ("ACG", 5), ("CGG", 6)], {}
+    b["r"] = [("ACG", 1, 1, 1, False, "r"), ("CGT", 2, 2, 1, False, "r"), ("GTA", 3, 3, 1, False, "r")]
+    b["q"] = [("TAC", 4, 4, 1, False, "q"), ("ACG", 5, 5, 1, False, "q"), ("CGG", 6, 6, 1, False, "q")]
+    assert assembly.supported_part(a, b, True) == a[:3] and assembly.supported_part(a, b, False) == a[3:]
+    assert assembly.supported_part(a[:4], b, True) == a[:4]
+    b["z"] = [("GTA", 3, 3, 1, False, "z"), ("TAC", 4, 4, 1, False, "z")]
+    assert assembly.supported_part(a, b, True) == a
+
+
+def test_consensus(spark):
+    rng = random.Random(9)
+    s = "".join(rng.choice("ACGT") for _ in range(120))
+    bad = s[:60] + ("A" if s[60] != "A" else "C") + s[61:]
+    tip = s[:100] + ("A" if s[100] != "A" else "C")
+    rows = [(1, s[i : i + 70], 3) for i in range(0, 51, 5)] + [(1, bad[20:110], 1), (1, tip[50:], 1), (2, "NNNN", 1)]
+    got = {r["g"]: r["consensus"] for r in assembly.consensus_by(spark.createDataFrame(rows, "g long, seq string, weight int"), "g", 21).collect()}
+    assert got == {1: s, 2: ""}
+
+
 def test_error_correction(spark):
     rng = random.Random(5)
     s = "".join(rng.choice("ACGT") for _ in range(60))
