@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 8 << 20
 #: Small inputs are still dealt into this many blocks, so that all executors have work.
 LEAST_BLOCKS = 64
+#: Bytes of an Arrow batch of texts.
+BATCH_BYTES = 4 << 20
 #: Rows that a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -38,6 +40,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame) -> None:
+    """Texts go to Python in Arrow batches of a few MB: JVM, Arrow and Python each hold a batch of every task at once.
+
+    A setting of the session, as batches are cut when the plan runs; a smaller one that is set already stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    told = (conf.get(name) or "").rstrip("b")
+    if not told.isdigit() or int(told) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

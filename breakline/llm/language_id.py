@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 #: Length of a profile.
 PROFILE = 300
 #: Bound on the labelled documents that each language's profile is learned from.
@@ -110,6 +112,7 @@ class Profiles:
 
 def learn(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, length: int = PROFILE) -> Profiles:
     """Profiles from rows (id, text, lang), none of them null in text and lang."""
+    text_batches(labelled)
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
     if len(sizes) > MOST_LANGS:
         raise ValueError(f"more than {MOST_LANGS} languages")

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import text_batches
+
 # Phrases that are a licence's name wherever they stand, and the label each gives.
 BASE_PHRASES = {
     "mit license": "mit",
@@ -128,6 +130,7 @@ class Index:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=None, notices=None) -> DataFrame:
     """One row per document with its places, labels and score; no shuffle, one pass over the texts."""
+    text_batches(docs)
     base, notices = dict(base or BASE_PHRASES), tuple(NOTICES if notices is None else notices)
 
     def run(batches):

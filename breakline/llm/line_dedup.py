@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_count, block_of, text_bytes
+from .common import block_count, block_of, text_batches, text_bytes
 from .perfect_hash import MinimalPerfectHash, mix64
 
 MIN_CHARS = 10
@@ -156,6 +156,7 @@ def _apply(min_chars: int, columns: list[str], id_col: str, text_col: str):
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines gone from the text, and ``_n_lines``, ``_n_dropped``. A null text stays null."""
+    text_batches(docs)
     n_bytes = text_bytes(docs, text_col)
     blocks, shards = block_count(n_bytes), block_count(n_bytes, SHARD_BYTES)
     # both uses take the same columns, so that the texts are shuffled once

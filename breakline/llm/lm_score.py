@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, block_of, materialise, text_bytes
+from .common import block_count, block_of, materialise, text_batches, text_bytes
 
 #: Tokens with vectors of their own, with the end and "other".
 MODEL_WORDS = 2048
@@ -340,6 +340,7 @@ def _score(shards: int, vocabulary: Vocabulary, model: LogBilinear):
 
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", model_words: int = MODEL_WORDS) -> DataFrame:
     """Train on the rows that aren't ``held_out`` and score every row."""
+    text_batches(docs)
     n_bytes = text_bytes(docs, text_col)
     blocks, shards = block_count(n_bytes), block_count(n_bytes, SHARD_BYTES)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"), block_of(docs[id_col], docs[text_col], blocks).alias("block"))

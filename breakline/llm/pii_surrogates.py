@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 KEY = b"surrogates-1"
 _ROUNDS = 8
 
@@ -285,6 +287,7 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> Da
             cols = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(i) for i, f in enumerate(batch.schema)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(kinds, pa.string())], names=[*batch.schema.names, "_n_entities", "_kinds"])
 
+    text_batches(docs)
     own = docs.withColumn(text_col, F.col(text_col).cast("string"))
     schema = T.StructType([*own.schema.fields, T.StructField("_n_entities", T.LongType()), T.StructField("_kinds", T.StringType())])
     return own.mapInArrow(run, schema)
