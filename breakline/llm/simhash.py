@@ -188,11 +188,9 @@ def links(nodes: DataFrame) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_pairs, "a long, b long")
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) per row of ``docs``."""
-    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes)).select(F.col("node").alias("fp"), "root")
+def by_component(prints: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) from documents (doc_id, fp), distinct nodes (fp, least) and their links (a, b)."""
+    roots = components(links).select(F.col("node").alias("fp"), "root")
     named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
@@ -202,20 +200,27 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) per row of ``docs``."""
+    prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    return by_component(prints, nodes, links(nodes))
+
+
 def simhash_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id."""
     got = grouped(docs.select("doc_id", "text"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest id; of rows equal in id, one.
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=grouped) -> DataFrame:
+    """``docs`` with one document of each component of ``groups``: the one with the smallest id; of rows equal in id, one.
 
     A row without an id stands behind all that have one, in the order of its text's hash.
     """
     stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 61))
     own = docs.withColumn("_sid", F.coalesce(F.col(id_col).cast("long"), stand_in))
-    got = grouped(own.select("_sid", text_col), "_sid", text_col)
+    got = groups(own.select("_sid", text_col), "_sid", text_col)
     keep = materialise(got.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     # always by shuffle, whatever the size: the texts move once and the ids that stay are hashed partition by partition
     kept = own.join(keep.select(F.col("doc_id").alias("_sid")).hint("shuffle_hash"), "_sid", "left_semi")
