@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Texts become template tokens: numbers, units after a number and capitalised names inside a sentence turn into typed
+Texts become template tokens: numbers, units after a number and capitalised words, wherever they stand, turn into typed
 placeholders, everything else into lower-case words without punctuation. Windows of ``WINDOW`` template tokens of the
 documents are hash-joined with those of the benchmark items. A match gives an alignment (document, item, offset); within an
 alignment each slot value of the item must always meet one and the same value in the document, else the alignment is
@@ -37,12 +37,13 @@ UNITS = (
     "hz khz mhz ghz w kw mw v a j kj n pa kpa kmh mph"
 ).split()
 
-# Placeholders are tokens of their own; upper-case here, lower-cased with the rest.
-NUMBER, NAME, UNIT = "0", "Xname", "Xunit"
+# Placeholders are tokens of their own, in lower case so that none is taken for a name.
+NUMBER, NAME, UNIT = "xnumber", "xname", "xunit"
 
 
 def separated(text: Column) -> Column:
-    """The text with each number one token: decimal marks inside turn to _, and a unit that sticks to it is parted."""
+    """The text with single spaces and each number one token: decimal marks inside turn to _, and a unit that sticks to it is parted."""
+    text = F.regexp_replace(text, r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+", " ")
     digits = text.rlike(r"\p{Nd}")
     joined = F.regexp_replace(text, r"[.,](?<=\p{Nd}[.,])(?=\p{Nd})", "_")
     return F.when(digits, F.regexp_replace(joined, r"(\p{Nd}(?<![\p{L}\p{N}_]\p{Nd})[\p{Nd}_]*)(?=\p{L})", "$1 ")).otherwise(text)
@@ -57,7 +58,7 @@ def template_text(text: Column) -> Column:
     number = F.regexp_replace(text, r"\p{Nd}(?<![\p{L}\p{N}_]\p{Nd})[\p{Nd}_]*(?![\p{L}\p{N}_])", NUMBER)
     unit = F.regexp_replace(number, rf"(?<=\b{NUMBER} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}_])", UNIT)
     numbered = F.when(text.rlike(r"\p{Nd}"), unit).otherwise(text)
-    return F.lower(F.regexp_replace(numbered, r"\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})[\p{Ll}\p{M}]+", NAME))
+    return F.lower(F.regexp_replace(numbered, r"\p{Lu}(?<![\p{L}\p{M}\p{N}_]\p{Lu})[\p{L}\p{M}]*\p{Ll}[\p{L}\p{M}]*(?![\p{N}_])", NAME))
 
 
 def _hashes(df: DataFrame, window: int) -> DataFrame:
@@ -77,7 +78,7 @@ def _slots(df: DataFrame) -> DataFrame:
     """(key, sep) to (key, pos, kind, value) of its placeholders."""
     both = F.arrays_zip(split_tokens(template_text(F.col("sep"))).alias("t"), split_tokens(F.lower(F.col("sep"))).alias("v"))
     each = df.select("key", F.posexplode(both).alias("pos", "x"))
-    return each.where(F.col("x.t").isin(NUMBER, NAME.lower(), UNIT.lower())).select("key", "pos", F.col("x.t").alias("kind"), F.col("x.v").alias("value"))
+    return each.where(F.col("x.t").isin(NUMBER, NAME, UNIT)).select("key", "pos", F.col("x.t").alias("kind"), F.col("x.v").alias("value"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_run: int = MIN_RUN) -> DataFrame:
