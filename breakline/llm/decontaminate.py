@@ -2,16 +2,17 @@
 
 Texts become template tokens: numbers, units after a number and capitalised words, wherever they stand, turn into typed
 placeholders, everything else into lower-case words without punctuation. Windows of ``WINDOW`` template tokens of the
-documents are hash-joined with those of the benchmark items. A match gives an alignment (document, item, offset); within an
-alignment each slot value of the item must always meet one and the same value in the document, else the alignment is
-dropped. So a re-parameterised question (other numbers, other names, used alike) is caught and a jumble of numbers isn't.
-A document is contaminated by an item if its consistent alignments hold ``MIN_COVERAGE`` of the item's windows, or
-if one of them holds ``MIN_RUN`` windows.
+documents are hash-joined with those of the benchmark items, and so are windows of plain lower-case tokens, which find copies whose
+case or line breaks differ. A match gives an alignment (document, item, offset); within an
+alignment each slot value of the item must always meet one and the same value in the document, else its
+template windows are dropped, though never those that match in plain tokens. So a re-parameterised question (other numbers, other names, used alike) is caught and a jumble of numbers isn't.
+A document is contaminated by an item if its windows that match in either way are ``MIN_COVERAGE`` of the item's, or
+if ``MIN_RUN`` of them have one offset. An item under ``WINDOW`` tokens is one window of all its plain tokens.
 
 The item windows are broadcast only if they are counted to be few, else the join shuffles. The documents' windows are never grouped:
 only matches are. Texts are read a second time for documents with matches alone, and only if an item has slots.
 
-Defined results: null or short texts (under ``WINDOW`` tokens) and such items match nothing; an empty table or an empty
+Defined results: null texts and items without tokens match nothing; short documents match short items alone; an empty table or an empty
 benchmark gives an empty report and keeps every document; rows equal in id and text are judged alike; null ids are kept
 apart by their text; other columns are ignored by the report and kept by ``decontaminate``.
 """
@@ -61,12 +62,25 @@ def template_text(text: Column) -> Column:
     return F.lower(F.regexp_replace(numbered, r"\p{Lu}(?<![\p{L}\p{M}\p{N}_]\p{Lu})[\p{L}\p{M}]*\p{Ll}[\p{L}\p{M}]*(?![\p{N}_])", NAME))
 
 
-def _hashes(df: DataFrame, window: int) -> DataFrame:
-    """(key, text) to (key, pos, w): the hash of each window of template tokens."""
-    hashed = df.select("key", F.transform(split_tokens(template_text(F.col("sep"))), lambda w: F.xxhash64(w)).alias("h"))
-    last = F.size("h") - window
-    spans = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col("h"), i + k) for k in range(window)]))
-    return hashed.where(last >= 0).select("key", F.posexplode(spans).alias("pos", "w"))
+def _spans(h: str, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(h) - size), lambda i: F.xxhash64(*[F.get(F.col(h), i + k) for k in range(size)]))
+
+
+def _hashes(df: DataFrame, window: int, sizes: list[int], whole: bool = False) -> DataFrame:
+    """(key, sep) to (key, pos, w, plain): the hash of each window of template tokens and of each of plain tokens, once if they are the same.
+
+    Of each of the shorter ``sizes`` all plain windows, or with ``whole`` those that are all of the text.
+    """
+    hashed = df.select("key", *[F.transform(split_tokens(t), lambda w: F.xxhash64(w)).alias(h) for h, t in (("t", template_text(F.col("sep"))), ("p", F.lower(F.col("sep"))))])
+    zipped = F.arrays_zip(_spans("t", window).alias("t"), _spans("p", window).alias("p"))
+    each = hashed.where(F.size("t") >= window).select("key", F.posexplode(zipped).alias("pos", "x"))
+    one = lambda w, plain: F.struct(F.col(w).alias("w"), F.lit(plain).alias("plain"))
+    both = F.when(F.col("x.t") == F.col("x.p"), F.array(one("x.p", True))).otherwise(F.array(one("x.p", True), one("x.t", False)))
+    out = each.select("key", "pos", F.explode(both).alias("x")).select("key", "pos", "x.w", "x.plain")
+    for size in sizes:
+        fits = F.size("p") == size if whole else F.size("p") >= size
+        out = out.unionByName(hashed.where(fits).select("key", F.posexplode(_spans("p", size)).alias("pos", "w")).withColumn("plain", F.lit(True)))
+    return out
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,24 +98,27 @@ def _slots(df: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, min_coverage: float = MIN_COVERAGE, min_run: int = MIN_RUN) -> DataFrame:
     """(key, item_id, n_windows, n_matched, longest, coverage) per contaminated document key and item."""
     items = benchmark.select(F.col(item_col).cast("long").alias("key"), separated(F.col(item_text).cast("string")).alias("sep")).where(F.col("key").isNotNull()).distinct()
-    grid = materialise(_hashes(items, window).select(F.col("key").alias("item_id"), F.col("pos").alias("ipos"), "w"), "item-windows")
+    grid = materialise(_hashes(items, window, list(range(1, window)), True).withColumnsRenamed({"key": "item_id", "pos": "ipos"}), "item-windows")
     n_grid = grid.count()
+    sizes = sorted(r[0] for r in items.select(F.size(split_tokens(F.col("sep")))).distinct().collect() if 0 < (r[0] or 0) < window)
     keyed = _keyed(docs, id_col, text_col)
-    hits = materialise(_hashes(keyed, window).join(small_or_not(grid, n_grid), "w").select("key", "item_id", "pos", "ipos").distinct(), "hits")
+    own = _hashes(keyed, window, sizes).select("key", "pos", "w")
+    hits = materialise(own.join(small_or_not(grid, n_grid), "w").select("key", "item_id", F.col("pos") - F.col("ipos"), "ipos", "plain").toDF("key", "item_id", "offset", "ipos", "plain").distinct(), "hits")
     slots = materialise(_slots(items).withColumnsRenamed({"key": "item_id", "pos": "spos"}), "item-slots")
     n_slots = slots.count()
-    runs = hits.withColumn("offset", F.col("pos") - F.col("ipos"))
+    runs = hits.where("plain").drop("plain")
     if n_slots:
-        at = F.col("spos") - F.col("ipos")
-        met = runs.join(small_or_not(slots, n_slots), "item_id").where(at.between(0, window - 1))
-        met = met.select("key", "item_id", "offset", "kind", F.col("value").alias("ivalue"), (F.col("pos") + at).alias("pos")).distinct()
+        # a window whose plain tokens match as well needs no look at its slots
+        like = hits.where(~F.col("plain")).drop("plain")
+        met = like.join(small_or_not(slots, n_slots), "item_id").where((F.col("spos") - F.col("ipos")).between(0, window - 1))
+        met = met.select("key", "item_id", "offset", "kind", "value", (F.col("offset") + F.col("spos")).alias("pos")).withColumnRenamed("value", "ivalue").distinct()
         wanted = met.select("key").distinct()
         n_wanted = wanted.count()
-        own = _slots(keyed.select("key", "sep").join(small_or_not(wanted, n_wanted), "key", "left_semi")).distinct()
-        told = met.join(own, ["key", "pos", "kind"]).groupBy("key", "item_id", "offset", "kind", "ivalue").agg(F.count_distinct("value").alias("n"))
+        said = _slots(keyed.select("key", "sep").join(small_or_not(wanted, n_wanted), "key", "left_semi")).distinct()
+        told = met.join(said, ["key", "pos", "kind"]).groupBy("key", "item_id", "offset", "kind", "ivalue").agg(F.count_distinct("value").alias("n"))
         bad = told.where(F.col("n") > 1).select("key", "item_id", "offset").distinct()
-        runs = runs.join(bad, ["key", "item_id", "offset"], "left_anti")
-    size = grid.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+        runs = runs.unionByName(like.join(bad, ["key", "item_id", "offset"], "left_anti")).distinct()
+    size = grid.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows"))
     by_run = runs.groupBy("key", "item_id", "offset").agg(F.count(F.lit(1)).alias("n"))
     longest = by_run.groupBy("key", "item_id").agg(F.max("n").alias("longest"))
     found = runs.select("key", "item_id", "ipos").distinct().groupBy("key", "item_id").agg(F.count(F.lit(1)).alias("n_matched"))

@@ -21,3 +21,12 @@ def found(spark, item, text):
 @pytest.mark.parametrize("text", [SOLD.replace("Tom", "Peter").replace("Anna", "Olga").replace("12", "31").replace("7", "9").replace("3 ", "8 "), "»" + SOLD.replace("Tom", "Hugo").replace(" 12", "  15") + "«"])
 def test_names_that_open_sentences(spark, text):
     assert found(spark, SOLD, "They asked: " + text + " Then they left.")
+
+
+@pytest.mark.parametrize("item, text", [(TRAIN, TRAIN.lower()), (TRAIN, TRAIN.replace(" ", "\n")), (TRAIN, TRAIN.upper()), ("What is the capital of France?", "he asked what is the capital of france, again"), ("What is the capital of France?", "so What is the capital of France? she asked"), ("Name three primes.", "please name  three\nprimes now")])
+def test_verbatim_and_short_items(spark, item, text):
+    assert found(spark, item, text)
+
+
+def test_short_items_need_all_tokens_in_order(spark):
+    assert not found(spark, "Name three primes.", "three primes have a name")
