@@ -4,8 +4,8 @@ Texts become template tokens: numbers, units after a number and capitalised word
 placeholders, everything else into lower-case words without punctuation. Windows of ``WINDOW`` template tokens of the
 documents are hash-joined with those of the benchmark items, and so are windows of plain lower-case tokens, which find copies whose
 case or line breaks differ. A match gives an alignment (document, item, offset); within an
-alignment each slot value of the item must always meet one and the same value in the document, else its
-template windows are dropped, though never those that match in plain tokens. So a re-parameterised question (other numbers, other names, used alike) is caught and a jumble of numbers isn't.
+alignment each slot value of the item must always meet one and the same value in the document, else the template windows that cover
+it are dropped, though never those that match in plain tokens. So a re-parameterised question (other numbers, other names, used alike) is caught and a jumble of numbers isn't.
 A document is contaminated by an item if its windows that match in either way are ``MIN_COVERAGE`` of the item's, or
 if ``MIN_RUN`` of them have one offset. An item under ``WINDOW`` tokens is one window of all its plain tokens.
 
@@ -116,8 +116,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         n_wanted = wanted.count()
         said = _slots(keyed.select("key", "sep").join(small_or_not(wanted, n_wanted), "key", "left_semi")).distinct()
         told = met.join(said, ["key", "pos", "kind"]).groupBy("key", "item_id", "offset", "kind", "ivalue").agg(F.count_distinct("value").alias("n"))
-        bad = told.where(F.col("n") > 1).select("key", "item_id", "offset").distinct()
-        runs = runs.unionByName(like.join(bad, ["key", "item_id", "offset"], "left_anti")).distinct()
+        bad = told.where(F.col("n") > 1).join(small_or_not(slots.withColumnRenamed("value", "ivalue"), n_slots), ["item_id", "kind", "ivalue"])
+        bad = bad.select("key", "item_id", "offset", F.explode(F.sequence(F.col("spos") - (window - 1), F.col("spos"))).alias("ipos")).distinct()
+        runs = runs.unionByName(like.join(bad, ["key", "item_id", "offset", "ipos"], "left_anti")).distinct()
     size = grid.groupBy("item_id").agg(F.count_distinct("ipos").alias("n_windows"))
     by_run = runs.groupBy("key", "item_id", "offset").agg(F.count(F.lit(1)).alias("n"))
     longest = by_run.groupBy("key", "item_id").agg(F.max("n").alias("longest"))

@@ -30,3 +30,7 @@ def test_verbatim_and_short_items(spark, item, text):
 
 def test_short_items_need_all_tokens_in_order(spark):
     assert not found(spark, "Name three primes.", "three primes have a name")
+
+
+def test_one_altered_slot_costs_its_windows_alone(spark):
+    assert found(spark, LONG, LONG.replace("1990 was", "1991 was"))
