@@ -2,7 +2,7 @@
 
 Detected: e-mail addresses, IPv4 and IPv6 addresses, payment cards, IBANs, phone numbers, US social security numbers, secrets (keys,
 tokens, passwords after a telling word or with a known prefix, long hexadecimal strings), and names after a title or a telling
-phrase. Each finding is replaced by the image of a keyed permutation of all strings of its format: letters stay letters of
+phrase, with all other mentions of them or of their parts in the same document. Each finding is replaced by the image of a keyed permutation of all strings of its format: letters stay letters of
 their script and case, digits stay digits, punctuation stays, cards and IBANs keep valid check digits, a given name turns
 into one of the same gender and script. As a permutation has no collisions, different originals get different
 surrogates and the same original the same surrogate everywhere, without any shuffle. Where formats could run into each other
@@ -56,6 +56,7 @@ _KINDS = [
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("ip6", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    ("ip6", r"(?<![\w:])(?=[0-9A-Fa-f:]*[0-9A-Fa-f])(?!(?:[0-9A-Fa-f]*:+){8})(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])"),
     ("card", r"(?<![\d.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])"),
@@ -65,7 +66,7 @@ _KINDS = [
 ]
 _PATTERNS = [(kind, re.compile(p)) for kind, p in _KINDS]
 #: A text without any of these has none of the kinds.
-_HINT = re.compile(r"@|\d|[Kk][Ee][Yy]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Pp][Aa][Ss][Ss][Ww]|[Pp][Ww][Dd]|[0-9a-fA-F]{32}|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\b|name|Name|heiße|llamo|appelle|nom|Contact")
+_HINT = re.compile(r"@|\d|::|[Kk][Ee][Yy]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Pp][Aa][Ss][Ss][Ww]|[Pp][Ww][Dd]|[0-9a-fA-F]{32}|\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?)\b|name|Name|heiße|llamo|appelle|nom|Contact")
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -87,6 +88,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
             taken.append((a, b, kind))
         for a, b, _ in taken[before:]:  # what is found is hidden from the kinds that follow
             rest = f"{rest[:a]}{chr(0) * (b - a)}{rest[b:]}"
+    names = {text[a:b] for a, b, kind in taken if kind == "name"}
+    names |= {part for name in names for part in [*name.split(" "), *re.split(r"[ \-'’]", name)] if len(part) > 1 and part[0].isupper()}
+    if names:  # other mentions of the names and their parts, also in capitals
+        said = sorted({x for n in names for x in (n, n.upper())}, key=lambda n: (-len(n), n))
+        taken += [(*m.span(), "name") for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, said))})(?!\w)", rest)]
     return sorted(taken)
 
 
@@ -170,9 +176,21 @@ class Keyed:
         return ".".join(str(value >> k & 255) for k in (24, 16, 8, 0))
 
     def _ip6(self, s: str) -> str:
-        value = int("".join(x.zfill(4) for x in s.split(":")), 16)
-        got = f"{self.permute(value, 1 << 128, 'ip6'):032x}"
-        return ":".join(got[i : i + 4] for i in range(0, 32, 4))
+        # the colons, the digits of each group and the class of case stay
+        digits, shape, case = s.replace(":", ""), re.sub("[^:]", "x", s), _case(s)
+        used = {"lower": "0123456789abcdef", "upper": "0123456789ABCDEF", "mixed": "0123456789abcdefABCDEF"}[case]
+        while True:
+            value = 0
+            for c in digits:
+                value = value * len(used) + used.index(c)
+            value, got = self.permute(value, len(used) ** len(digits), f"ip6|{case}|{shape}"), []
+            for _ in digits:
+                value, i = divmod(value, len(used))
+                got.append(used[i])
+            digits = "".join(reversed(got))
+            if _case(digits) == case:
+                new = iter(digits)
+                return "".join(c if c == ":" else next(new) for c in s)
 
     def _digits(self, s: str, keep: int, tweak: str, check=None) -> str:
         """Digits after the first ``keep`` permuted, punctuation kept; ``check`` makes the last digit."""
@@ -241,6 +259,13 @@ _ALPHABET_OF = {c: a for a in _ALPHABETS for c in a}
 _LOWER = {c.upper(): c for a in _ALPHABETS for c in a if c.islower() and c.upper() in _ALPHABET_OF}
 
 
+def _case(s: str) -> str:
+    """Of hexadecimal digits: whether capitals are among the letters, and small ones beside them."""
+    if not re.search("[A-F]", s):
+        return "lower"
+    return "mixed" if re.search("[a-f]", s) else "upper"
+
+
 def _alphabet(c: str) -> str:
     """All characters of the script and case of ``c``; none for what stays."""
     if c not in _ALPHABET_OF and c.isalpha():
