@@ -7,8 +7,8 @@ their script and case, digits stay digits, punctuation stays, cards and IBANs ke
 into one of the same gender and script. As a permutation has no collisions, different originals get different
 surrogates and the same original the same surrogate everywhere, without any shuffle. Where formats could run into each other
 (given names and other names, valid and invalid card numbers) an image that falls into the other class is permuted again until
-it doesn't, which is again one to one. Each document's replacements are checked for two originals with one surrogate, and
-``collisions`` makes the same check over a whole corpus.
+it doesn't, which is again one to one. What is permuted is the spelling as found: leading zeros and case stay, so two spellings of
+one address have two surrogates. ``collisions`` checks a whole corpus for two originals with one surrogate.
 
 Defined results: null text stays null with 0 entities; a text without findings is returned as it is, byte for byte; repeated rows get
 the same text; other columns are kept by ``replace_pii``; an empty table gives an empty table.
@@ -163,17 +163,30 @@ class Keyed:
         m = re.match(r"AKIA|gh[pousr]_|sk-|xox[abprs]-|AIza|eyJ", s)
         head = m[0] if m else ""
         body = s[len(head) :]
-        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", body) and len(body) >= 16:
-            got = f"{self.permute(int(body, 16), 16 ** len(body), f'hex{len(body)}'):0{len(body)}x}"
-            return head + (got.upper() if body.upper() == body else got)
-        return head + self.letters(body, "secret", False)
+        if _HEX.fullmatch(body):
+            # permuted again until it shows the case of the original
+            capital, got = body.upper() == body, body
+            while True:
+                got = f"{self.permute(int(got, 16), 16 ** len(body), f'hex{len(body)}'):0{len(body)}x}"
+                if capital or got.upper() != got:
+                    return head + (got.upper() if capital else got)
+        got = self.letters(body, "secret", False)
+        while _HEX.fullmatch(got):
+            got = self.letters(got, "secret", False)
+        return head + got
 
     def _ip(self, s: str) -> str:
-        value = 0
-        for x in s.split("."):
-            value = value * 256 + int(x)
-        value = self.permute(value, 1 << 32, "ip")
-        return ".".join(str(value >> k & 255) for k in (24, 16, 8, 0))
+        # a part with a leading zero stays one
+        parts = s.split(".")
+        sizes = [10 if len(x) > 1 and x[0] == "0" else 256 for x in parts]
+        value, total, out = 0, 1, []
+        for x, size in zip(parts, sizes, strict=True):
+            value, total = value * size + int(x), total * size
+        value = self.permute(value, total, "ip" if total == 1 << 32 else f"ip|{sizes}")
+        for size in reversed(sizes):
+            value, i = divmod(value, size)
+            out.append(f"{i:02d}" if size == 10 else str(i))
+        return ".".join(reversed(out))
 
     def _ip6(self, s: str) -> str:
         # the colons, the digits of each group and the class of case stay
@@ -231,6 +244,8 @@ class Keyed:
         return re.sub(r"[^ \-'’]+", lambda m: self._one_name(m[0]), s)
 
     def _one_name(self, s: str) -> str:
+        if s[1:] != s[1:].lower() and not s.isupper():
+            return self.letters(s, "name")  # other mixtures of case are apart from all that follows, as the mixture stays
         if known := _GIVEN_AT.get(s.lower()):
             (script, gender), i = known
             names = GIVEN[script, gender]
@@ -243,6 +258,8 @@ class Keyed:
         return got
 
 
+_HEX = re.compile(r"[0-9a-f]{16,}|[0-9A-F]{16,}")
+
 _ALPHABETS = [
     "0123456789",
     "abcdefghijklmnopqrstuvwxyz",
@@ -291,8 +308,6 @@ def replace(text: str, keyed: Keyed) -> tuple[str, list[tuple[str, str, str]]]:
         out += [text[at:a], new]
         said.append((kind, text[a:b], new))
         at = b
-    if len({(k, o) for k, o, _ in said}) != len({(k, n) for k, _, n in said}):
-        raise ValueError("two originals have one surrogate")
     return "".join([*out, text[at:]]), said
 
 

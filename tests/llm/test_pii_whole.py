@@ -27,3 +27,19 @@ def test_compressed_ip6(address):
 @pytest.mark.parametrize("text", ["std::vector x::y", "at :: or a :: b"])
 def test_not_ip6(text):
     assert replace(text, Keyed())[0] == text
+
+
+def test_spellings_stay_distinct(spark):
+    same = ["1.0.0.1 1.0.0.01 01.0.0.1 1.00.0.1", "2001:0db8:0:0:0:0:0:1 2001:0DB8:0:0:0:0:0:1 2001:db8:0:0:0:0:0:1 2001:Db8:0a:0:0:0:0:1 2001:db8:0A:0:0:0:0:1", "Mr Anna, Mr AnnA, Mr ANNA, Mr AnNa"]
+    for text in same:
+        _, said = replace(text, Keyed())
+        assert len({o for _, o, _ in said}) == len({n for _, _, n in said}) >= 4
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(", ".join(same).replace(", ", " | ").replace(" 1", " | 1").replace(" 2", " | 2").split(" | "))], "doc_id long, text string")
+    assert pii_surrogates.collisions(df).count() == 0 and pii_surrogates.surrogate_map(df).count() >= 12
+
+
+def test_small_formats_are_one_to_one():
+    k = Keyed()
+    for all_of in ([f"0{a}.0{b}.0{c}.01" for a in range(10) for b in range(10) for c in range(10)], [f"::{a}{b}" for a in "09afAF" for b in "0123456789abcdefABCDEF"]):
+        kind = "ip" if "." in all_of[0] else "ip6"
+        assert len({k.surrogate(kind, x) for x in all_of}) == len(all_of)
