@@ -23,10 +23,51 @@ BROADCAST_ROWS = 100_000
 _OWN_FOLDER: list[str] = []
 
 
+class Apart:
+    """A caller's table under names of our own (c0, c1, ...), so that no column of it can clash with one that an operator adds.
+
+    ``back`` gives the caller's names again, whatever they are: with other cases, dots or underscores.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.df = docs.toDF(*self.own)
+
+    @property
+    def own(self) -> list[str]:
+        return [f"c{i}" for i in range(len(self.names))]
+
+    def name(self, column: str) -> str:
+        """Our name of the caller's ``column``: of the one spelt so, else of the only one that differs in case."""
+        at = [i for i, n in enumerate(self.names) if n == column] or [i for i, n in enumerate(self.names) if n.lower() == column.lower()]
+        if len(at) != 1:
+            raise ValueError(f"{len(at)} columns are named {column!r}: {self.names}")
+        return f"c{at[0]}"
+
+    def col(self, column: str) -> Column:
+        return F.col(self.name(column))
+
+    def free(self, *wanted: str) -> list[str]:
+        """The wanted names for added columns, with more underscores in front where the caller has such a column."""
+        taken, out = {n.lower() for n in self.names}, []
+        for n in wanted:
+            while n.lower() in taken:
+                n = f"_{n}"
+            taken.add(n.lower())
+            out.append(n)
+        return out
+
+    def back(self, df: DataFrame, *added: str) -> DataFrame:
+        """The caller's columns under their names, then the ``added`` ones."""
+        return df.select(*self.own, *added).toDF(*self.names, *self.free(*added))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; one of our own only where it is unset."""
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; one of our own only where it is unset and all runs on one machine."""
     if told := spark.conf.get("spark.checkpoint.dir", None):
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append("file://" + tempfile.mkdtemp(prefix="breakline-"))
     return _OWN_FOLDER[0]
