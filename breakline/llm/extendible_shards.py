@@ -8,10 +8,12 @@ Bytes are summed per prefix before anything is shuffled, so no bucket's document
 down ``_STEP`` bits at a time and looks only at what is still too large.
 
 Rows with the same id and text have the same bits and no further bit parts them. Where such rows exceed the limit together, their
-bucket is cut by a running sum of bytes in the order of ``copy``, over rows of a few numbers each.
+bucket is cut by their number. They are numbered within the parts that the scan reads, after the counts of the parts before, so that no
+task holds them all.
 
 Defined results: null text has 0 bytes; a null id hashes as empty text; a single document over the limit is alone in its shard
-(``oversize`` true); an empty table gives an empty table; other columns are kept.
+(``oversize`` true); an empty table gives an empty table; other columns are kept, whatever their names (where the caller has a
+``_shard``, the added one has one more underscore).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_or_not
+from .common import Apart, materialise, small_or_not
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 16 << 20
@@ -59,37 +61,39 @@ def leaves(rows: DataFrame, limit: int) -> DataFrame:
 
 def assign_shards(docs: DataFrame, limit: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with struct ``_shard``: id (its bits, then ``.k`` for the cuts of equal rows), depth, shard_bytes, n_bytes, oversize."""
-    keyed = docs.withColumn("_h", hash_bits(F.col(id_col), F.col(text_col))).withColumn("_b", F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long"))
-    rows = materialise(keyed.select(F.col("_h").alias("h"), F.col("_b").alias("n_bytes")), "sizes")
+    own = Apart(docs)
+    keyed = own.df.withColumns({"h": hash_bits(own.col(id_col), own.col(text_col)), "b": F.coalesce(F.octet_length(own.col(text_col)), F.lit(0)).cast("long")})
+    rows = materialise(keyed.select("h", F.col("b").alias("n_bytes")), "sizes")
     directory = leaves(rows, limit)
     n, deepest = directory.agg(F.count(F.lit(1)), F.max("depth")).first()
     slot_bits = min(max((n or 1) - 1, 1).bit_length(), deepest or 0)
-    spread = directory.select(
-        F.col("depth").alias("_depth"),
-        F.col("prefix").alias("_prefix"),
-        F.col("shard_bytes").alias("_bytes"),
-        F.col("n_docs").alias("_docs"),
-        F.expr(f"shiftleft(prefix, {BITS} - depth)").alias("_lo"),
-        F.expr(f"shiftleft(prefix + 1, {BITS} - depth) - 1").alias("_hi"),
-    )
+    spread = directory.select("depth", "prefix", "shard_bytes", "n_docs", F.expr(f"shiftleft(prefix, {BITS} - depth)").alias("lo"), F.expr(f"shiftleft(prefix + 1, {BITS} - depth) - 1").alias("hi"))
     # a bucket above the slots' depth is in several slots, one below it shares its slot
-    spread = spread.withColumn("_slot", F.explode(F.sequence(F.expr(f"shiftright(_lo, {BITS - slot_bits})"), F.expr(f"shiftright(_hi, {BITS - slot_bits})"))))
+    spread = spread.withColumn("slot", F.explode(F.sequence(F.expr(f"shiftright(lo, {BITS - slot_bits})"), F.expr(f"shiftright(hi, {BITS - slot_bits})"))))
     n_slots = spread.count()
-    found = keyed.join(small_or_not(spread, n_slots), (F.expr(f"shiftright(_h, {BITS - slot_bits})") == F.col("_slot")) & F.col("_h").between(F.col("_lo"), F.col("_hi")), "left")
-    name = F.concat(F.lit("b"), F.when(F.col("_depth") > 0, F.lpad(F.bin("_prefix"), F.col("_depth"), F.lit("0"))).otherwise(F.lit("")))
-    packed = F.struct(name.alias("id"), F.col("_depth").cast("int").alias("depth"), F.col("_bytes").cast("long").alias("shard_bytes"), F.col("_b").alias("n_bytes"), (F.col("_b") > limit).alias("oversize"))
-    out = found.withColumn("_shard", packed)
+    found = keyed.join(small_or_not(spread, n_slots), (F.expr(f"shiftright(h, {BITS - slot_bits})") == F.col("slot")) & F.col("h").between(F.col("lo"), F.col("hi")), "left")
+    name = F.concat(F.lit("b"), F.when(F.col("depth") > 0, F.lpad(F.bin("prefix"), F.col("depth"), F.lit("0"))).otherwise(F.lit("")))
+    packed = lambda name, inside: F.struct(name.alias("id"), F.col("depth").cast("int").alias("depth"), inside.cast("long").alias("shard_bytes"), F.col("b").alias("n_bytes"), (F.col("b") > limit).alias("oversize"))
+    whole = found.withColumn("_shard", packed(name, F.col("shard_bytes")))
     if directory.where((F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("n_docs") > 1)).isEmpty():
-        return out.select(*[docs[c] for c in docs.columns], "_shard")
+        return own.back(whole, "_shard")
     # rows that no bit parts: as many to a cut as fit; each row of such a bucket has the same bytes
-    is_equal = (F.col("_depth") == BITS) & (F.col("_bytes") > limit) & (F.col("_docs") > 1)
-    each = F.greatest(F.floor(F.lit(limit) / F.greatest(F.col("_b"), F.lit(1))), F.lit(1))
-    nth = F.row_number().over(Window.partitionBy("_h").orderBy(F.lit(0))) - 1
-    cuts = out.where(is_equal).withColumn("_part", F.floor(nth / each))
-    cuts = cuts.withColumn("_inside", F.least(each, F.col("_docs") - F.col("_part") * each) * F.col("_b"))
-    cuts = cuts.withColumn("_shard", F.struct(F.concat("_shard.id", F.lit("."), F.col("_part").cast("string")).alias("id"), F.col("_shard.depth"), F.col("_inside").cast("long").alias("shard_bytes"), F.col("_shard.n_bytes"), F.col("_shard.oversize")))
-    cols = [*[F.col(c) for c in docs.columns], F.col("_shard")]
-    return out.where(~F.coalesce(is_equal, F.lit(False))).select(*cols).unionByName(cuts.select(*cols))
+    is_equal = F.coalesce((F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("n_docs") > 1), F.lit(False))
+    each = F.greatest(F.floor(F.lit(limit) / F.greatest(F.col("b"), F.lit(1))), F.lit(1))
+    cuts = numbered(found.where(is_equal)).withColumn("part", F.floor(F.col("nth") / each))
+    inside = F.least(each, F.col("n_docs") - F.col("part") * each) * F.col("b")
+    cuts = cuts.withColumn("_shard", packed(F.concat(name, F.lit("."), F.col("part").cast("string")), inside))
+    return own.back(whole.where(~is_equal).select(*own.own, "_shard").unionByName(cuts.select(*own.own, "_shard")), "_shard")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``nth``, from 0 within each ``h``, however many rows one has: numbers within a written part, after the counts of the parts before."""
+    rows = materialise(rows.withColumns({"part_no": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "equal-rows")
+    per = rows.groupBy("h", "part_no").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("h").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1))
+    start = per.select("h", "part_no", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("h", "part_no").orderBy("at")) - 1
+    return rows.withColumn("inside", inside).join(start, ["h", "part_no"]).withColumn("nth", F.col("inside") + F.col("start"))
 
 
 def shard_report(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
