@@ -7,16 +7,18 @@ rate = target / size, and a document is taken floor(rate) times plus once more w
 by a hash of seed and id, so that reruns agree.
 
 Independent draws of few or very unequal documents miss the target by chance, so the draws are conditioned on their sum: the hash is cut
-into ``BINS`` equal steps, words are summed per source and step, and the threshold of a source is the step at which the words below it come
-nearest to what the fraction asks for. With many documents that is the fraction itself, to within a step; each document is still decided alone, by
-its hash and one number of its source.
+into ``BINS`` equal steps, words are summed per source and step, and the steps are taken whole as long as their words fit into what the fraction asks
+for. In the step that no longer fits, a document is drawn with the probability of that step's missing words (Bernoulli, by the rest of its
+hash). The expected words are therefore those that the fraction asks for, as with plain draws, and only one step's documents are left to chance;
+each document is still decided alone, by its hash and one threshold of its source, which nears the fraction as documents grow in number.
 
 Each source's size comes from partial sums, so a source that holds a third of all rows costs one row per task. The table of
 sources is broadcast only if it is counted to be small; otherwise it is joined by shuffle, where adaptive execution splits
 a hot source.
 
 Defined results: null text has size 0; a null source is a source; a source without words has target 0 and takes nothing; a null id
-hashes as empty text; repeated rows get the same decision; other columns are kept as they are; an empty table stays empty.
+hashes as empty text; repeated rows get the same decision; other columns are kept as they are, whatever their names (where the caller has a ``_mix``,
+the added one has one more underscore); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, Apart
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -51,8 +53,9 @@ def unit_hash(id_col: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, _BITS // 4), 16, 10).cast("long") / F.lit(float(1 << _BITS))
 
 
-def hash_bin(id_col: Column, seed: str = SEED) -> Column:
-    return F.floor(unit_hash(id_col, seed) * F.lit(float(BINS))).cast("int")
+def hash_bin(point: Column) -> Column:
+    """The step of a ``unit_hash``."""
+    return F.floor(point * F.lit(float(BINS))).cast("int")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -78,35 +81,39 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     per = per.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(F.lit(0.0))
     per = per.withColumn("times", F.floor(rate).cast("int")).withColumn("need", F.col("target") - F.col("times") * F.col("source_size"))
-    # words below each step; step 0 has none
+    # the first step whose words no longer fit, with the words below it; none if all fit, and then the threshold is 1
     w = Window.partitionBy("source").orderBy("bin")
-    below = steps.select(F.col("source").alias("_s"), (F.col("bin") + 1).alias("step"), F.sum("words").over(w).alias("sum"))
-    first = per.select(F.col("source").alias("_s"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("sum"))
-    tried = per.join(below.unionByName(first), F.col("source").eqNullSafe(F.col("_s")))
-    best = F.min(F.struct(F.abs(F.col("sum") - F.col("need")).alias("away"), F.col("step"))).alias("b")
-    got = tried.groupBy("source", "source_size", "target", "times").agg(best)
-    return got.select("source", "source_size", "target", "times", F.col("b.step").alias("threshold"))
+    below = steps.select(F.col("source").alias("s"), "bin", "words", (F.sum("words").over(w) - F.col("words")).alias("sum")).where("words > 0")
+    over = per.join(below, F.col("source").eqNullSafe(F.col("s")) & (F.col("sum") + F.col("words") > F.col("need")))
+    first = over.groupBy("source").agg(F.min(F.struct("bin", "words", "sum")).alias("f")).withColumnRenamed("source", "s")
+    got = per.join(first, F.col("source").eqNullSafe(F.col("s")), "left")
+    part = F.least(F.greatest((F.col("need") - F.col("f.sum")) / F.col("f.words"), F.lit(0.0)), F.lit(1.0))
+    return got.select("source", "source_size", "target", "times", F.coalesce((F.col("f.bin") + part) / F.lit(float(BINS)), F.lit(1.0)).alias("threshold"))
 
 
 def mix_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with struct ``_mix`` (size, source_size, target, copies)."""
-    sizes = docs.select(F.col(source_col).alias("source"), hash_bin(F.col(id_col), seed).alias("bin"), size_of(F.col(text_col)).alias("size"))
+    own = Apart(docs)
+    return own.back(_decided(own, id_col, text_col, source_col, weights, share, most, seed), "_mix")
+
+
+def _decided(own: Apart, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+    source, size, point = own.col(source_col), size_of(own.col(text_col)), unit_hash(own.col(id_col), seed)
+    sizes = own.df.select(source.alias("source"), hash_bin(point).alias("bin"), size.alias("size"))
     per = source_targets(sizes, weights, share, most)
-    n_sources = docs.agg(F.count_distinct(F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")))).first()[0]
-    per = per.select(*[F.col(c).alias(f"_{c}") for c in ("source", "source_size", "target", "times", "threshold")])
+    n_sources = own.df.agg(F.count_distinct(F.coalesce(F.concat(F.lit("s"), source), F.lit("")))).first()[0]
     if n_sources <= BROADCAST_ROWS:
         per = F.broadcast(per)
-    copies = F.col("_times") + F.when(hash_bin(F.col(id_col), seed) < F.col("_threshold"), 1).otherwise(0)
-    joined = docs.withColumn("_size", size_of(F.col(text_col))).join(per, F.col(source_col).eqNullSafe(F.col("_source")), "left")
-    mix = F.struct(F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), copies.cast("int").alias("copies"))
-    return joined.withColumn("_mix", mix).select(*[docs[c] for c in docs.columns], "_mix")
+    copies = F.col("times") + F.when(point < F.col("threshold"), 1).otherwise(0)
+    joined = own.df.withColumn("size", size).join(per, source.eqNullSafe(F.col("source")), "left")
+    return joined.withColumn("_mix", F.struct("size", "source_size", "target", copies.cast("int").alias("copies")))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of ``docs``."""
-    taken = mix_decisions(docs, **options).where(F.col("_mix.copies") > 0)
-    copies = F.explode(F.sequence(F.lit(1), F.col("_mix.copies"))).alias("_copy")
-    return taken.select(*docs.columns, copies).drop("_copy")
+    own = Apart(docs)
+    taken = _decided(own, **options).where(F.col("_mix.copies") > 0)
+    return own.back(taken.select(*own.own, F.explode(F.sequence(F.lit(1), F.col("_mix.copies")))))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -118,9 +125,11 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 ORACLE_SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         CAST(floor(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * 1024.0::DOUBLE) AS INTEGER) AS bin FROM documents
+         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS point FROM documents
+), binned AS (
+  SELECT *, CAST(floor(point * 1024.0::DOUBLE) AS INTEGER) AS bin FROM sized
 ), steps AS (
-  SELECT source, bin, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY source, bin
+  SELECT source, bin, CAST(sum(size) AS BIGINT) AS words FROM binned GROUP BY source, bin
 ), per AS (
   SELECT source, CAST(sum(words) AS BIGINT) AS source_size FROM steps GROUP BY source
 ), weighed AS (
@@ -136,12 +145,15 @@ WITH sized AS (
 ), rated AS (
   SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END) AS INTEGER) AS times FROM targets
 ), below AS (
-  SELECT source, bin + 1 AS step, sum(words) OVER (PARTITION BY source ORDER BY bin) AS words FROM steps UNION ALL SELECT source, 0, 0 FROM per
+  SELECT source, bin, words, sum(words) OVER (PARTITION BY source ORDER BY bin) - words AS before FROM steps
+), crossing AS (
+  SELECT r.source, b.bin, b.words, b.before, row_number() OVER (PARTITION BY r.source ORDER BY b.bin) AS k
+  FROM rated r JOIN below b ON r.source IS NOT DISTINCT FROM b.source WHERE b.words > 0 AND b.before + b.words > r.target - r.times * r.source_size
 ), chosen AS (
-  SELECT source, source_size, target, times, step FROM (
-    SELECT r.*, b.step, row_number() OVER (PARTITION BY r.source ORDER BY abs(b.words::DOUBLE - (r.target - r.times * r.source_size)), b.step) AS k
-    FROM rated r JOIN below b ON r.source IS NOT DISTINCT FROM b.source) WHERE k = 1
+  SELECT r.source, r.source_size, r.target, r.times,
+         coalesce((c.bin + least(greatest((r.target - r.times * r.source_size - c.before) / c.words::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE)) / 1024.0::DOUBLE, 1.0::DOUBLE) AS threshold
+  FROM rated r LEFT JOIN crossing c ON r.source IS NOT DISTINCT FROM c.source AND c.k = 1
 )
-SELECT s.doc_id, s.size, c.source_size, c.target, CAST((c.times + CASE WHEN s.bin < c.step THEN 1 ELSE 0 END) * s.size AS BIGINT) AS taken
+SELECT s.doc_id, s.size, c.source_size, c.target, CAST((c.times + CASE WHEN s.point < c.threshold THEN 1 ELSE 0 END) * s.size AS BIGINT) AS taken
 FROM sized s JOIN chosen c ON s.source IS NOT DISTINCT FROM c.source
 """
