@@ -1,18 +1,23 @@
 """Line deduplication with a sharded minimal perfect hash.
 
-Documents are dealt into blocks by a hash of their id. Each block sends the 128-bit hashes of its distinct line keys, with the
-smallest id that holds each and the number of its documents, to the shard that the hash selects. A shard builds a minimal perfect
-hash over its distinct line hashes; the function indexes compact arrays of fingerprints, of counts of documents and of
-owners. The blocks' entries probe the arrays, and a block is told of the lines that occur in several documents. Lines are never
-joined; a line in a third of all documents is one entry per block.
+A first pass over the texts sends, for each block of them, the 128-bit hashes of its distinct line keys with the smallest and the
+largest id that holds each to the shard that the hash selects. A shard builds a minimal perfect hash over the distinct line hashes
+that several documents hold; the function indexes compact arrays of fingerprints, counts (one, or several) and owners, and is written
+as one row of bytes. A second pass lets the documents probe these arrays with all their lines: most lines are in no shard's arrays
+and miss, by the hash's bits or by the fingerprint of 64 bits. Lines are never joined; a line in a third of all documents is one
+entry per block.
 
-Blocks hold about ``BLOCK_BYTES`` of text and shards about ``SHARD_BYTES`` of it, whatever the input.
+The arrays go to every task if they are measured to be at most ``INDEX_BYTES`` together; then texts aren't shuffled at all. Beyond that documents are dealt
+into blocks, each block's distinct line hashes travel to the shards and probe the arrays there, and the block is told of the hits. Both
+ways give the same rows.
+
+Blocks hold about ``BLOCK_BYTES`` of text and shards index about ``SHARD_BYTES`` of it, whatever the input.
 
 Defined results: a line's key is the line without white space (space, tab to carriage return) at both ends and with A-Z
 lower-cased. Null or empty text is one empty line, kept. Keys of at least ``min_chars`` code points in at least two
 documents stay in the smallest id only (there all of their lines stay). Rows with the same id are one document. Rows with null id
-lose what a row with an id holds; lines that only rows with null id hold stay. Other columns are kept; an empty table gives
-an empty table.
+lose what a row with an id holds; lines that only rows with null id hold stay. Other columns are kept, whatever their names (added columns
+get one more underscore where the caller has such a name); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,14 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_count, block_of, text_batches, text_bytes
+from .common import BLOCK_BYTES, Apart, block_count, block_of, materialise, text_batches, text_bytes
 from .perfect_hash import MinimalPerfectHash, mix64
 
 MIN_CHARS = 10
 #: Bytes of text whose lines one shard indexes, about.
 SHARD_BYTES = 8 << 20
+#: Bytes of all arrays up to which every task holds them.
+INDEX_BYTES = 32 << 20
 _SPACE = b" \t\n\r\x0b\x0c"
 _NO_ID = np.iinfo(np.int64).max
+ENTRIES = "shard int, block int, hi long, lo long, least long, most long"
+INDEX = "shard int, hash binary, fingerprint binary, count binary, owner binary"
 
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -44,128 +53,199 @@ def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
     return out
 
 
-def _block_entries(min_chars: int, shards: int, id_col: str, text_col: str):
-    """What a block sends: for each distinct key its shard, hash, smallest id and number of documents."""
+def _digests(keys) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">u8").astype(np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
-    def run(block: pa.Table) -> pa.Table:
-        least: dict[bytes, int] = {}
-        count: dict[bytes, int] = {}
-        seen: dict[int, set[bytes]] = {}  # keys of documents whose id repeats
-        ids = block.column(id_col).to_pylist()
-        repeated = len(set(ids)) < len(ids)
-        for doc, text in zip(ids, block.column(text_col).cast(pa.binary()), strict=True):
-            text = text.as_py()
-            if not text:
-                continue
-            keys = {k for k in line_keys(text, min_chars) if k is not None}
-            if repeated and doc is not None:
-                had = seen.setdefault(doc, set())
-                keys -= had
-                had |= keys
-            doc = _NO_ID if doc is None else doc
-            for k in keys:
-                if k in count:
-                    count[k] += 1
-                    if doc < least[k]:
-                        least[k] = doc
-                else:
-                    count[k], least[k] = 1, doc
-        digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, count)), ">u8").astype(np.uint64).reshape(-1, 2)
-        hi, lo = digest[:, 0], digest[:, 1]
+
+class _Entries:
+    """Distinct keys of a block with the smallest and the largest id that holds each."""
+
+    def __init__(self, min_chars: int, shards: int):
+        self.min_chars, self.shards = min_chars, shards
+        self.least: dict[bytes, int] = {}
+        self.most: dict[bytes, int] = {}
+
+    def add(self, doc: int | None, text: bytes | None) -> None:
+        if not text:
+            return
+        doc = _NO_ID if doc is None else doc
+        least, most = self.least, self.most
+        for k in {k for k in line_keys(text, self.min_chars) if k is not None}:
+            if k not in least:
+                least[k] = most[k] = doc
+            elif doc < least[k]:
+                least[k] = doc
+            elif doc > most[k]:
+                most[k] = doc
+
+    def rows(self, block: int) -> pa.RecordBatch:
+        hi, lo = _digests(self.least)
         n = len(hi)
-        number = block.column("_block")[0].as_py() if len(block) else 0
-        return pa.table({
-            "_shard": pa.array((hi % np.uint64(shards)).astype(np.int32)),
-            "_block": pa.array(np.full(n, number, np.int32)),
-            "hi": pa.array(hi.view(np.int64)),
-            "lo": pa.array(lo.view(np.int64)),
-            "least": pa.array(np.fromiter(least.values(), np.int64, n)),
-            "docs": pa.array(np.fromiter(count.values(), np.int32, n)),
-        })
+        cols = [(hi % np.uint64(self.shards)).astype(np.int32), np.full(n, block, np.int32), hi.view(np.int64), lo.view(np.int64), np.fromiter(self.least.values(), np.int64, n), np.fromiter(self.most.values(), np.int64, n)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shard", "block", "hi", "lo", "least", "most"])
+
+
+def _scan_entries(min_chars: int, shards: int):
+    """Entries of a scan's rows, block by block as they come."""
+
+    def run(batches):
+        said, size = _Entries(min_chars, shards), 0
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                said.add(doc, text.as_py())
+            size += texts.nbytes
+            if size >= BLOCK_BYTES:
+                yield said.rows(0)
+                said, size = _Entries(min_chars, shards), 0
+        if said.least:
+            yield said.rows(0)
+
+    return run
+
+
+def _block_entries(min_chars: int, shards: int, names: list[str]):
+    """Entries of a block of documents."""
+
+    def run(block: pa.Table) -> pa.Table:
+        said = _Entries(min_chars, shards)
+        for doc, text in zip(block.column(names[0]).to_pylist(), block.column(names[1]).cast(pa.binary()), strict=True):
+            said.add(doc, text.as_py())
+        return pa.Table.from_batches([said.rows(block.column("block")[0].as_py())])
 
     return run
 
 
+def print_of(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    return mix64(lo ^ mix64(hi + np.uint64(0x632BE59BD9B4E019)))
+
+
 class LineIndex:
-    """The arrays of a shard behind its minimal perfect hash."""
+    """The arrays of a shard behind its minimal perfect hash: the lines that several documents hold."""
 
-    def __init__(self, hi: np.ndarray, lo: np.ndarray, least: np.ndarray, docs: np.ndarray):
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, least: np.ndarray, most: np.ndarray):
         order = np.lexsort((lo, hi))
         h, low = hi[order], lo[order]
-        first = np.concatenate(([True], (h[1:] != h[:-1]) | (low[1:] != low[:-1]))) if len(h) else np.zeros(0, bool)
-        at = np.flatnonzero(first)
-        self.hash = MinimalPerfectHash(h[at], low[at])
-        slot = self.hash.index(h[at], low[at])
-        self.fingerprint = np.zeros(len(at), np.uint32)
-        self.count = np.zeros(len(at), np.int64)
-        self.owner = np.full(len(at), _NO_ID, np.int64)
-        if len(at):
-            self.fingerprint[slot] = self.print_of(h[at], low[at])
-            self.count[slot] = np.add.reduceat(docs[order].astype(np.int64), at)
-            self.owner[slot] = np.minimum.reduceat(least[order], at)
-
-    @staticmethod
-    def print_of(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-        return (mix64(lo ^ (hi >> np.uint64(7))) >> np.uint64(32)).astype(np.uint32)
+        at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (low[1:] != low[:-1])))) if len(h) else np.zeros(0, np.int64)
+        first = np.minimum.reduceat(least[order], at) if len(at) else least
+        several = first < np.maximum.reduceat(most[order], at) if len(at) else np.zeros(0, bool)
+        h, low, first = h[at[several]], low[at[several]], first[several]
+        self.hash = MinimalPerfectHash(h, low)
+        slot = self.hash.index(h, low)
+        self.fingerprint, self.owner = np.zeros(len(h), np.uint64), np.zeros(len(h), np.int64)
+        self.count = np.full(len(h), 2, np.uint8)
+        self.fingerprint[slot], self.owner[slot] = print_of(h, low), first
+
+    def row(self, shard: int) -> dict:
+        return {"shard": shard, "hash": self.hash.to_bytes(), "fingerprint": self.fingerprint.tobytes(), "count": self.count.tobytes(), "owner": self.owner.tobytes()}
+
+    @classmethod
+    def of(cls, row: dict) -> LineIndex:
+        out = cls.__new__(cls)
+        out.hash = MinimalPerfectHash.from_bytes(row["hash"])
+        out.fingerprint, out.count, out.owner = np.frombuffer(row["fingerprint"], np.uint64), np.frombuffer(row["count"], np.uint8), np.frombuffer(row["owner"], np.int64)
+        return out
 
     def probe(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and owner of each hash; 0 and no owner where the fingerprint differs."""
-        at = np.maximum(self.hash.index(hi, lo), 0)
-        if not self.hash.n:
-            return np.zeros(len(hi), np.int64), np.full(len(hi), _NO_ID)
-        same = self.fingerprint[at] == self.print_of(hi, lo)
-        return np.where(same, self.count[at], 0), np.where(same, self.owner[at], _NO_ID)
+        """Count (2: several documents) and owner of each line hash; 0 and no owner of one that isn't in the arrays."""
+        at = self.hash.index(hi, lo)
+        hit = at >= 0
+        hit[hit] = self.fingerprint[at[hit]] == print_of(hi[hit], lo[hit])
+        count, owner = np.zeros(len(hi), np.uint8), np.full(len(hi), _NO_ID)
+        count[hit], owner[hit] = self.count[at[hit]], self.owner[at[hit]]
+        return count, owner
+
+
+def _index(entries: pa.Table) -> pa.Table:
+    """Index a shard's lines; a shard without lines in several documents gives no row."""
+    hi, lo = (entries.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
+    made = LineIndex(hi, lo, entries.column("least").to_numpy(), entries.column("most").to_numpy())
+    rows = [made.row(entries.column("shard")[0].as_py())] if made.hash.n else []
+    kinds = [("shard", pa.int32()), *((c, pa.binary()) for c in ("hash", "fingerprint", "count", "owner"))]
+    return pa.Table.from_pylist(rows, pa.schema(kinds))
+
+
+def _answer(probes: pa.Table, index: pa.Table) -> pa.Table:
+    """A shard's arrays, probed by the lines of all blocks: the hits that can cost a block a line."""
+    hi, lo = (probes.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
+    count, owner = LineIndex.of(index.to_pylist()[0]).probe(hi, lo) if len(index) and len(probes) else (np.zeros(len(hi), np.uint8), np.full(len(hi), _NO_ID))
+    told = (count > 1) & (probes.column("most").to_numpy() != owner)  # a block that holds only the owner drops nothing
+    return pa.table({"block": pa.array(probes.column("block").to_numpy()[told], pa.int32()), "hi": pa.array(hi[told].view(np.int64)), "lo": pa.array(lo[told].view(np.int64)), "owner": pa.array(owner[told], pa.int64())})
 
 
-def _answer(shard: pa.Table) -> pa.Table:
-    """Index a shard's lines, and tell each block of those that several documents hold."""
-    hi, lo = (shard.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
-    least, docs, block = (shard.column(c).to_numpy() for c in ("least", "docs", "_block"))
-    count, owner = LineIndex(hi, lo, least, docs).probe(hi, lo)
-    told = (count >= 2) & (owner != _NO_ID) & ~((docs == 1) & (least == owner))  # a block that holds only the owner drops nothing
-    return pa.table({"_block": pa.array(block[told]), "hi": pa.array(hi[told].view(np.int64)), "lo": pa.array(lo[told].view(np.int64)), "owner": pa.array(owner[told])})
+def _kept(min_chars: int, names: list[str], docs: pa.Table | pa.RecordBatch, owners) -> list[pa.Array]:
+    """Texts without the lines whose owner is another document, lines, and dropped lines. ``owners`` are of the given distinct keys, in order."""
+    texts = docs.column(names[1]).cast(pa.binary()).to_pylist()
+    keys = [line_keys(t, min_chars) if t else [] for t in texts]
+    distinct = list({k for ks in keys for k in ks if k is not None})
+    owner = {k: o for k, o in zip(distinct, owners(distinct), strict=True) if o != _NO_ID}
+    kept, total, dropped = [], [], []
+    for doc, text, ks in zip(docs.column(names[0]).to_pylist(), texts, keys, strict=True):
+        doc = _NO_ID if doc is None else doc
+        gone = [owner.get(k, doc) != doc for k in ks] if owner else []
+        total.append(max(len(ks), 1))
+        dropped.append(sum(gone))
+        kept.append(b"\n".join(line for line, g in zip(text.split(b"\n"), gone, strict=True) if not g) if any(gone) else text)
+    return [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())]
+
+
+def _probe_held(min_chars: int, names: list[str], held, shards: int):
+    """Documents probe the arrays, which every task holds."""
+
+    def run(batches):
+        index = {row["shard"]: LineIndex.of(row) for row in held.value}
+
+        def owners(keys: list[bytes]) -> list[int]:
+            hi, lo = _digests(keys)
+            out, shard = np.full(len(hi), _NO_ID), (hi % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if (own := index.get(int(shard[order[a]]))) is not None:
+                    out[order[a:b]] = own.probe(hi[order[a:b]], lo[order[a:b]])[1]
+            return out.tolist()
+
+        for batch in batches:
+            text, *added = _kept(min_chars, names, batch, owners)
+            cols = [text if n == names[1] else batch.column(i) for i, n in enumerate(batch.schema.names)]
+            yield pa.RecordBatch.from_arrays([*cols, *added], names=[*batch.schema.names, "_n_lines", "_n_dropped"])
+
+    return run
 
 
-def _apply(min_chars: int, columns: list[str], id_col: str, text_col: str):
-    """Drop a block's repeated lines, given what the shards told."""
+def _probe_told(min_chars: int, names: list[str], columns: list[str]):
+    """A block drops its lines by what the shards told."""
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        pair = np.stack([told.column("hi").to_numpy().view(np.uint64), told.column("lo").to_numpy().view(np.uint64)], axis=1).astype(">u8").tobytes() if len(told) else b""
+        pair = np.stack([told.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")], axis=1).astype(">u8").tobytes() if len(told) else b""
         owner = dict(zip((pair[i : i + 16] for i in range(0, len(pair), 16)), told.column("owner").to_pylist() if len(told) else (), strict=True))
-        kept, total, dropped = [], [], []
-        texts = docs.column(text_col).cast(pa.binary()).to_pylist()
-        digest = xxhash.xxh3_128_digest
-        for doc, text in zip(docs.column(id_col).to_pylist(), texts, strict=True):
-            lines = (text or b"").split(b"\n")
-            total.append(len(lines))
-            if not owner or not text:
-                kept.append(text)
-                dropped.append(0)
-                continue
-            doc = _NO_ID if doc is None else doc
-            keys = line_keys(text, min_chars)
-            stay = [line for line, k in zip(lines, keys, strict=True) if k is None or owner.get(digest(k), doc) == doc]
-            dropped.append(len(lines) - len(stay))
-            kept.append(b"\n".join(stay))
-        text = pa.array(kept, pa.binary()).cast(pa.string())
-        out = {c: text if c == text_col else docs.column(c) for c in columns}
-        return pa.table(out | {"_n_lines": pa.array(total, pa.int64()), "_n_dropped": pa.array(dropped, pa.int64())})
+        text, n, dropped = _kept(min_chars, names, docs, lambda keys: [owner.get(xxhash.xxh3_128_digest(k), _NO_ID) for k in keys])
+        return pa.table({c: text if c == names[1] else docs.column(c) for c in columns} | {"_n_lines": n, "_n_dropped": dropped})
 
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``docs`` with repeated lines gone from the text, and ``_n_lines``, ``_n_dropped``. A null text stays null."""
     text_batches(docs)
-    n_bytes = text_bytes(docs, text_col)
-    blocks, shards = block_count(n_bytes), block_count(n_bytes, SHARD_BYTES)
+    apart = Apart(docs)
+    names = [apart.name(id_col), apart.name(text_col)]
+    own = apart.df.withColumns({names[0]: F.col(names[0]).cast("long"), names[1]: F.col(names[1]).cast("string")})
+    schema = T.StructType([*own.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
+    n_bytes = text_bytes(own, names[1])
+    shards = block_count(n_bytes, SHARD_BYTES)
+    entries = own.select(*names).mapInArrow(_scan_entries(min_chars, shards), ENTRIES)
+    index = materialise(entries.drop("block").groupBy("shard").applyInArrow(_index, INDEX), "line-index")
+    size = index.agg(F.sum(sum(F.octet_length(c) for c in ("hash", "fingerprint", "count", "owner")) + F.lit(256))).first()[0] or 0
+    if size <= index_bytes:
+        held = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in index.collect()])  # its size is measured
+        return apart.back(own.mapInArrow(_probe_held(min_chars, names, held, shards), schema), "_n_lines", "_n_dropped")
     # both uses take the same columns, so that the texts are shuffled once
-    own = docs.withColumns({id_col: F.col(id_col).cast("long"), text_col: F.col(text_col).cast("string"), "_block": block_of(F.col(id_col), F.col(text_col), blocks)})
-    entries = own.groupBy("_block").applyInArrow(_block_entries(min_chars, shards, id_col, text_col), "_shard int, _block int, hi long, lo long, least long, docs int")
-    told = entries.groupBy("_shard").applyInArrow(_answer, "_block int, hi long, lo long, owner long")
-    fields = [f for f in own.schema.fields if f.name != "_block"]
-    schema = T.StructType([*fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
-    return own.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(_apply(min_chars, docs.columns, id_col, text_col), schema)
+    dealt = own.withColumn("block", block_of(F.col(names[0]), F.col(names[1]), block_count(n_bytes)))
+    probes = dealt.groupBy("block").applyInArrow(_block_entries(min_chars, shards, names), ENTRIES)
+    told = probes.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(_answer, "block int, hi long, lo long, owner long")
+    return apart.back(dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_probe_told(min_chars, names, apart.own), schema), "_n_lines", "_n_dropped")
 
 
 def line_report(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -49,6 +49,26 @@ class MinimalPerfectHash:
                 raise ValueError("the keys aren't distinct")
         self._starts = [0, *np.cumsum([int(np.bitwise_count(x).sum()) for x in self.levels]).tolist()]
 
+    def to_bytes(self) -> bytes:
+        """Number of keys and levels, sizes of the levels in bits, then their bits."""
+        head = np.array([self.n, len(self.levels), *(self._sizes if self.levels else [])], "<i8")
+        return head.tobytes() + b"".join(x.tobytes() for x in self.levels)
+
+    @classmethod
+    def from_bytes(cls, held: bytes) -> MinimalPerfectHash:
+        out = cls.__new__(cls)
+        out.n, k = np.frombuffer(held, "<i8", 2).tolist()
+        out._sizes = np.frombuffer(held, "<i8", k, 16).tolist()
+        out.levels, out.before, out._starts, at = [], [], [0], 16 + 8 * k
+        for size in out._sizes:
+            packed = np.frombuffer(held, np.uint8, -(-size // 8), at)
+            rank = np.cumsum(np.unpackbits(packed)[:size], dtype=np.int64) - 1 + out._starts[-1]
+            out.levels.append(packed)
+            out.before.append(rank[7::8])
+            out._starts.append(int(rank[-1]) + 1)
+            at += len(packed)
+        return out
+
     def index(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """Index of each pair; of one that isn't a key any index, or -1."""
         out = np.full(len(hi), -1, np.int64)
