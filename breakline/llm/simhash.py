@@ -7,12 +7,13 @@ vector: a fingerprint stands in the cells of its two halves, and where a half's
 (two half vectors at distance 1 have sums of different parity, so one side is enough). Fingerprints that meet in a cell are
 compared: first the Manhattan distance over the whole vector, then the exact Hamming distance.
 
-Equal fingerprints are one node, so copies meet nobody. In a cell, links are given as a forest, never as all pairs. A cell
-is compared in blocks of ``_CHUNK`` rows, so memory doesn't grow with it. Components follow by stars (``components``).
+Equal fingerprints are one node, so copies meet nobody. In a cell, links are given as a forest, never as all pairs. A cell's distinct
+fingerprints are held by one task, 8 bytes each, and compared in blocks of ``_CHUNK`` rows; a cell holds 2^-16 of all distinct fingerprints at
+the densest (half vectors of ones), if they are spread evenly. Components follow by stars (``components``).
 
 Defined results: null text is empty text; a text without words has fingerprint zero, linked like any other; one or two words
 are one shingle. Repeated rows repeat. A null id takes part in links but is never a component's id unless it has no other (then null).
-Other columns are kept by ``near_dedup``; an empty table gives an empty table.
+Other columns are kept by ``near_dedup``, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_batches
+from .common import Apart, materialise, text_batches
 from .components import components
 
 SHINGLE = 3
@@ -136,7 +137,9 @@ def _cell_links(fp: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for i in range(0, len(mine), _CHUNK):
         for j in range(0, len(every), _CHUNK):
             x, y = mine[i : i + _CHUNK], every[j : j + _CHUNK]
-            p, q = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= BITS)
+            p, q = np.nonzero(manhattan(popcounts(x)[:, None], popcounts(y)[None, :]) <= BITS)  # the bound, then exactly
+            near = np.bitwise_count(x[p] ^ y[q]) <= BITS
+            p, q = p[near], q[near]
             differ = x[p] != y[q]
             if differ.any():
                 a, b = _forest(np.concatenate((a, x[p[differ]])), np.concatenate((b, y[q[differ]])))
@@ -218,12 +221,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row without an id stands behind all that have one, in the order of its text's hash.
     """
-    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 61))
-    own = docs.withColumn("_sid", F.coalesce(F.col(id_col).cast("long"), stand_in))
-    got = groups(own.select("_sid", text_col), "_sid", text_col)
+    apart = Apart(docs)
+    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64(apart.col(text_col)), F.lit(1 << 61))
+    own = apart.df.withColumn("sid", F.coalesce(apart.col(id_col).cast("long"), stand_in))
+    got = groups(own.select("sid", apart.col(text_col).alias("text")), "sid", "text")
     keep = materialise(got.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "kept")
     # always by shuffle, whatever the size: the texts move once and the ids that stay are hashed partition by partition
-    kept = own.join(keep.select(F.col("doc_id").alias("_sid")).hint("shuffle_hash"), "_sid", "left_semi")
+    kept = own.join(keep.select(F.col("doc_id").alias("sid")).hint("shuffle_hash"), "sid", "left_semi")
     if not keep.where(F.col("n") > 1).isEmpty():
-        kept = kept.dropDuplicates(["_sid"])
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["sid"])
+    return apart.back(kept)
