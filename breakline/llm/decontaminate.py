@@ -14,7 +14,7 @@ only matches are. Texts are read a second time for documents with matches alone,
 
 Defined results: null texts and items without tokens match nothing; short documents match short items alone; an empty table or an empty
 benchmark gives an empty report and keeps every document; rows equal in id and text are judged alike; null ids are kept
-apart by their text; other columns are ignored by the report and kept by ``decontaminate``.
+apart by their text; other columns are ignored by the report and kept by ``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, small_or_not
+from .common import Apart, materialise, small_or_not
 
 WINDOW = 5
 MIN_COVERAGE = 0.8
@@ -138,7 +138,8 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    found = materialise(contaminated(docs, benchmark, id_col, text_col, **options).select(F.col("key").alias("_key")).distinct(), "contaminated")
-    n = found.count()
-    key = F.xxhash64(F.coalesce(docs[id_col].cast("string"), F.lit("")), docs[text_col].cast("string"))
-    return docs.withColumn("_leak_key", key).join(F.broadcast(found) if n <= BROADCAST_ROWS else found, F.col("_leak_key") == F.col("_key"), "left_anti").drop("_leak_key")
+    own = Apart(docs)
+    slim = own.df.select(own.col(id_col).alias("doc_id"), own.col(text_col).alias("text"))
+    found = materialise(contaminated(slim, benchmark, **options).select("key").distinct(), "contaminated")
+    keyed = own.df.withColumn("key", F.xxhash64(F.coalesce(own.col(id_col).cast("string"), F.lit("")), own.col(text_col).cast("string")))
+    return own.back(keyed.join(small_or_not(found, found.count()), "key", "left_anti"))
