@@ -436,6 +436,46 @@ def test_ann(spark, factor):
     assert vptree_ann.ann_report(df.limit(0)).count() == 0
 
 
+def test_ann_ties_are_whole():
+    """Vectors of one direction and lengths apart by powers of two, and many points that tie with the k-th."""
+    v = np.array([[1.0, 2.0, 3.0, 4.0]] * 400) * 2.0 ** np.arange(-200, 200)[:, None]
+    ids = np.random.default_rng(1).permutation(400) + 1
+    shard = vptree_ann.Shard(ids, v, 5)
+    own, near, score = shard.search(ids[:20], v[:20], 1.0)
+    for i in ids[:20]:
+        assert near[own == i].tolist() == [x for x in range(1, 8) if x != i][:5] and (score[own == i] == 1).all()
+    eye = np.concatenate((np.eye(300), [[1.0] * 300]))  # 300 points at one distance
+    shard = vptree_ann.Shard(np.arange(301)[::-1].copy(), eye, 5)
+    assert shard.search(np.array([0]), eye[300:], 1.0)[1].tolist() == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("factor", [1.0, vptree_ann.FACTOR])
+def test_ann_prunes(spark, factor):
+    """50,000 vectors in 200 places: recall against brute force, and the share of brute force's distances that are computed."""
+    rng = np.random.default_rng(3)
+    n, k = 50_000, vptree_ann.NEAREST
+    v = rng.normal(size=(200, 64))[rng.integers(0, 200, n)] + 0.3 * rng.normal(size=(n, 64))
+    u, ids, asked = vptree_ann.unit_of(v), np.arange(n), np.arange(0, n, 50)
+    cells = vptree_ann.Cells({64: v[rng.permutation(n)[: vptree_ann.SAMPLE]]}, {64: vptree_ann.LEAST_CELLS}, k)
+    cell, away = cells.place(64, v)
+    bound, d = cells.bounds(64, v[asked]), vptree_ann.distance(u[asked], cells.pivots[64])
+    computed, found = n * d.shape[1] + len(asked) * (d.shape[1] + vptree_ann.SAMPLE), defaultdict(list)
+    for c in range(d.shape[1]):
+        at = np.flatnonzero(cell == c)
+        gap = np.maximum(np.maximum(away[at].min() - d[:, c], d[:, c] - away[at].max()), 0)
+        go = gap * factor <= bound + 1e-7
+        shard = vptree_ann.Shard(ids[at], v[at], k)
+        for q, i, s in zip(*shard.search(asked[go], v[asked[go]], factor, bound[go]), strict=True):
+            found[q].append((-s, i))
+        computed += shard.tree.computed
+    score = u[asked] @ u.T
+    score[np.arange(len(asked)), asked] = -2
+    want = np.argpartition(-score, k, axis=1)[:, :k]
+    hit = sum(len(set(want[j]) & {i for _, i in sorted(found[q])[:k]}) for j, q in enumerate(asked))
+    assert hit >= (1.0 if factor == 1 else 0.9) * want.size
+    assert factor == 1 or computed < 0.5 * len(asked) * n
+
+
 def test_decontaminate(spark, docs, empty):
     rng = random.Random(8)
     vocab = ["".join(rng.choice("bcdfgklmnpr") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
