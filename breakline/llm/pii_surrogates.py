@@ -1,17 +1,19 @@
 """Personal data replaced by keyed surrogates of the same type.
 
-Detected: e-mail addresses, IPv4 and IPv6 addresses, payment cards, IBANs, phone numbers, US social security numbers, secrets (keys,
+Detected: e-mail addresses, IPv4 and IPv6 addresses, payment cards, IBANs, phone numbers (with a plus, brackets, a telling word before them or in groups
+of three, three and four digits; not dates, versions or grouped thousands), US social security numbers, secrets (keys,
 tokens, passwords after a telling word or with a known prefix, long hexadecimal strings), and names after a title or a telling
 phrase, with all other mentions of them or of their parts in the same document. Each finding is replaced by the image of a keyed permutation of all strings of its format: letters stay letters of
 their script and case, digits stay digits, punctuation stays, cards and IBANs keep valid check digits, a given name turns
-into one of the same gender and script. As a permutation has no collisions, different originals get different
+into one of the same gender and script, another name keeps its last letter and has vowels and consonants where it had them. As a permutation has no collisions, different originals get different
 surrogates and the same original the same surrogate everywhere, without any shuffle. Where formats could run into each other
 (given names and other names, valid and invalid card numbers) an image that falls into the other class is permuted again until
 it doesn't, which is again one to one. What is permuted is the spelling as found: leading zeros and case stay, so two spellings of
 one address have two surrogates. ``collisions`` checks a whole corpus for two originals with one surrogate.
 
 Defined results: null text stays null with 0 entities; a text without findings is returned as it is, byte for byte; repeated rows get
-the same text; other columns are kept by ``replace_pii``; an empty table gives an empty table.
+the same text; other columns are kept by ``replace_pii``, whatever their names (added columns get one more underscore where the caller has such a
+name); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_batches
+from .common import Apart, text_batches
 
 KEY = b"surrogates-1"
 _ROUNDS = 8
 
 # Given names by script and gender; a surrogate is another name of the same list.
 GIVEN = {
-    ("latin", "f"): "Alice Amelia Anna Beatriz Carla Carmen Charlotte Clara Claire Elena Emma Eva Greta Hannah Heidi Ines Isabel Jane Julia Katharina Laura Lena Lucia Maria Marie Martha Mary Mia Nina Olivia Paula Rosa Sarah Sofia Sophie Susan Ursula",
-    ("latin", "m"): "Alan Andreas Antonio Bernd Bruno Carlos Charles David Diego Erik Ernst Fabian Felix Francois George Hans Henry Hugo Jack James Jean John Jorge Juan Karl Klaus Louis Luis Luca Marc Max Miguel Oliver Oscar Otto Pablo Paul Peter Robert Thomas",
+    ("latin", "f"): "Aisha Alice Amelia Amina Anna Beatriz Carla Carmen Charlotte Clara Claire Elena Emma Eva Fatima Greta Hannah Heidi Ines Ingrid Isabel Jane Julia Katharina Laura Leila Lena Lucia Maria Marie Martha Mary Mei Mia Natalia Nina Olga Olivia Paula Priya Rosa Sarah Sofia Sophie Susan Svetlana Ursula Yuki Zeynep",
+    ("latin", "m"): "Ahmed Alan Ali Andreas Antonio Arjun Bernd Bruno Carlos Charles David Diego Erik Ernst Fabian Felix Francois George Hans Henry Hiroshi Hugo Ivan Jack James Jean John Jorge Juan Karl Kenji Klaus Louis Luis Luca Marc Max Mehmet Miguel Mohammed Oliver Omar Oscar Otto Pablo Paul Pedro Peter Raj Rajesh Robert Sergei Thomas Wei Yusuf",
     ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия",
     ("cyrillic", "m"): "Алексей Андрей Борис Владимир Дмитрий Иван Игорь Максим Михаил Олег Павел Сергей",
     ("greek", "f"): "Αθηνά Άννα Ελένη Ιωάννα Κατερίνα Μαρία Σοφία Χριστίνα",
@@ -54,13 +56,15 @@ _KINDS = [
     ("secret", r"(?i:\b(?:api[_ -]?key|access[_ -]?key|secret(?:[_ -]?key)?|token|password|passwd|pwd)\b[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9_/+=.-]{6,})"),
     ("secret", r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
+    ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"),
     ("ip6", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     ("ip6", r"(?<![\w:])(?=[0-9A-Fa-f:]*[0-9A-Fa-f])(?!(?:[0-9A-Fa-f]*:+){8})(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])"),
-    ("card", r"(?<![\d.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])"),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?![\w-])|(?<![\w.+-])(?:\(\d{1,5}\)[ .-]?)?\d{2,5}(?:[ .-]\d{2,5}){1,4}(?![\w-])|(?<![\w+])\+\d{7,15}(?!\w)"),
+    ("card", r"(?<![0-9.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9-])"),
+    ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    ("phone", r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])"),
+    ("phone", r"(?<![\w+])(?:\+|00)[0-9]{1,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{2,8}(?:[ .-][0-9]{2,8}){1,4}(?![\w-])|(?<![\w+])\+[0-9]{7,15}(?!\w)"),
+    ("phone", r"(?<![\w.+-])(?:\([0-9]{2,5}\)[ .-]?[0-9]{2,8}(?:[ .-][0-9]{2,8}){0,4}|[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4})(?![\w-]|\.[0-9])"),
+    ("phone", r"(?i:\b(?:tel|telephone|phone|call|fax|mobile|cell|telefon|telefax|handy|teléfono|móvil|téléphone|portable)\b[.:]{0,2}[ ]{0,2})(?P<cued>\(?[0-9]{2,5}\)?(?:[ .-][0-9]{2,8}){1,4}|[0-9]{7,15})(?![\w-]|\.[0-9])"),
     ("name", rf"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra)\.?[ ])(?P<name>{_FULL_NAME})"),
     ("name", rf"(?:\b(?:[Mm]y name is|[Ii]ch heiße|[Mm]e llamo|[Jj]e m'appelle|[Mm]ein Name ist|[Mm]i nombre es|[Mm]on nom est|Name:|Contact:)[ ]+)(?P<named>{_FULL_NAME})"),
 ]
@@ -76,18 +80,15 @@ def find(text: str) -> list[tuple[int, int, str]]:
     taken: list[tuple[int, int, str]] = []
     rest = text
     for kind, pattern in _PATTERNS:
-        before = len(taken)
+        spans = []
         for m in pattern.finditer(rest):
-            group = m.lastgroup
-            a, b = m.span(group) if group else m.span()
-            digits = sum(c.isdigit() for c in text[a:b])
-            if kind == "phone" and not 7 <= digits <= 15 or kind == "iban" and not _iban_ok(text[a:b]):
-                continue
-            if kind == "phone" and not re.search(r"[+(]|[ .-].*[ .-]|^\d{3,5}[ .-]\d{4}$", text[a:b]):
-                continue
-            taken.append((a, b, kind))
-        for a, b, _ in taken[before:]:  # what is found is hidden from the kinds that follow
-            rest = f"{rest[:a]}{chr(0) * (b - a)}{rest[b:]}"
+            a, b = m.span(m.lastgroup) if m.lastgroup else m.span()
+            if _holds(kind, text[a:b]):
+                spans.append((a, b))
+        if spans:  # what is found is hidden from the kinds that follow
+            taken += [(a, b, kind) for a, b in spans]
+            shown = zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(rest)], strict=True)
+            rest = "".join(x for (a, b), hidden in zip(shown, [*(b - a for a, b in spans), 0], strict=True) for x in (rest[a:b], chr(0) * hidden))
     names = {text[a:b] for a, b, kind in taken if kind == "name"}
     names |= {part for name in names for part in [*name.split(" "), *re.split(r"[ \-'’]", name)] if len(part) > 1 and part[0].isupper()}
     if names:  # other mentions of the names and their parts, also in capitals
@@ -96,6 +97,18 @@ def find(text: str) -> list[tuple[int, int, str]]:
     return sorted(taken)
 
 
+def _holds(kind: str, s: str) -> bool:
+    """What a pattern alone can't tell: check digits, and the number of digits of a phone number."""
+    if kind == "phone":
+        return 7 <= sum(c.isdigit() for c in s) <= 15
+    if kind == "iban":
+        return _iban_ok(s)
+    if kind == "card":  # long numbers are cards if they check, or have a card's length and first digits
+        d = [int(c) for c in s if c.isdigit()]
+        return _luhn(d[:-1]) == str(d[-1]) or re.match(r"(?:4|5[1-5]|2[2-7]|6)[0-9]{15}$|3[47][0-9]{13}$", "".join(map(str, d))) is not None
+    return True
+
+
 def _iban_ok(s: str) -> bool:
     s = s.replace(" ", "")
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
@@ -112,27 +125,39 @@ class Keyed:
         said = f"{tweak}|{round_no}|{value}".encode()
         return int.from_bytes(hmac.new(self.key, said, hashlib.blake2b).digest()[:32], "big") % size
 
-    def permute(self, value: int, size: int, tweak: str) -> int:
-        """A permutation of 0 to size-1: an unbalanced Feistel network on a * b >= size, walked until the value is in range."""
-        if size < 2:
-            return value
+    def _walk(self, value: int, size: int, tweak: str, forth: bool) -> int:
+        """An unbalanced Feistel network on a * b >= size, or its inverse, walked until the value is in range."""
         a = int(size**0.5) if size < 1 << 50 else 1 << (size.bit_length() // 2)
         b = -(-size // a)
+        rounds = range(_ROUNDS) if forth else range(_ROUNDS - 1, -1, -1)
         while True:
             left, right = divmod(value, b)
-            for r in range(_ROUNDS):
+            for r in rounds:
                 if r % 2:
-                    right = (right + self._number(tweak, r, left, b)) % b
+                    step = self._number(tweak, r, left, b)
+                    right = (right + (step if forth else -step)) % b
                 else:
-                    left = (left + self._number(tweak, r, right, a)) % a
+                    step = self._number(tweak, r, right, a)
+                    left = (left + (step if forth else -step)) % a
             value = left * b + right
             if value < size:
                 return value
 
-    def letters(self, s: str, tweak: str, fold: bool = True) -> str:
-        """Digits to digits, letters to letters of the same script and case; all else stays. With ``fold`` spellings that differ in case alone get surrogates that do, too."""
+    def permute(self, value: int, size: int, tweak: str) -> int:
+        """A permutation of 0 to size-1 that leaves nothing where it is: a step in the order that the network gives."""
+        if size < 2:
+            return value
+        return self._walk((self._walk(value, size, tweak, True) + 1) % size, size, tweak, False)
+
+    def letters(self, s: str, tweak: str, fold: bool = True, spoken: bool = False) -> str:
+        """Digits to digits, letters to letters of the same script and case; all else stays. With ``fold`` spellings that differ in case alone get surrogates that do, too.
+
+        ``spoken``: vowels to vowels, consonants to consonants, and the last letter stays, as it often tells a name's gender.
+        """
         low = [_LOWER.get(c, c) if fold else c for c in s]
-        alphabets = [_alphabet(c) for c in low]
+        alphabets = [_spoken(c) if spoken else _alphabet(c) for c in low]
+        if spoken and sum(map(bool, alphabets)) > 1:
+            alphabets[-1] = ""
         value, total = 0, 1
         for c, a in zip(low, alphabets, strict=True):
             if a:
@@ -144,7 +169,7 @@ class Keyed:
             if a:
                 value, i = divmod(value, len(a))
                 c = a[i].upper() if c != was else a[i]
-            out.append(c)
+            out.append(c if a else was)
         return "".join(reversed(out))
 
     def surrogate(self, kind: str, s: str) -> str:
@@ -245,16 +270,16 @@ class Keyed:
 
     def _one_name(self, s: str) -> str:
         if s[1:] != s[1:].lower() and not s.isupper():
-            return self.letters(s, "name")  # other mixtures of case are apart from all that follows, as the mixture stays
+            return self.letters(s, "name", spoken=True)  # other mixtures of case are apart from all that follows, as the mixture stays
         if known := _GIVEN_AT.get(s.lower()):
             (script, gender), i = known
             names = GIVEN[script, gender]
             turn = 1 + self._number(f"given|{script}|{gender}", 0, 0, len(names) - 1)
             got = names[(i + turn) % len(names)]  # never the same name
             return got.upper() if s.isupper() else got
-        got = self.letters(s, "name")
+        got = self.letters(s, "name", spoken=True)
         while got.lower() in _GIVEN_AT:  # given names are the images of given names alone
-            got = self.letters(got, "name")
+            got = self.letters(got, "name", spoken=True)
         return got
 
 
@@ -276,6 +301,16 @@ _ALPHABET_OF = {c: a for a in _ALPHABETS for c in a}
 _LOWER = {c.upper(): c for a in _ALPHABETS for c in a if c.islower() and c.upper() in _ALPHABET_OF}
 
 
+_VOWELS = ["aeiou", "AEIOU", "аеиоуыэюя", "АЕИОУЫЭЮЯ", "αεηιουω", "ΑΕΗΙΟΥΩ"]
+
+
+def _spoken(c: str) -> str:
+    """The vowels or the consonants among the letters that ``_alphabet`` gives; an alphabet without vowels of its own stays whole."""
+    every = _alphabet(c)
+    vowels = next((v for v in _VOWELS if v[0] in every), "")
+    return vowels if c in vowels else "".join(x for x in every if x not in vowels)
+
+
 def _case(s: str) -> str:
     """Of hexadecimal digits: whether capitals are among the letters, and small ones beside them."""
     if not re.search("[A-F]", s):
@@ -313,24 +348,26 @@ def replace(text: str, keyed: Keyed) -> tuple[str, list[tuple[str, str, str]]]:
 
 def replace_pii(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """``docs`` with surrogates in the text, and ``_n_entities``, ``_kinds``."""
+    apart = Apart(docs)
+    at = apart.name(text_col)
 
     def run(batches):
         keyed = Keyed(key)
         for batch in batches:
             texts, n, kinds = [], [], []
-            for t in batch.column(batch.schema.get_field_index(text_col)):
+            for t in batch.column(batch.schema.get_field_index(at)):
                 text = t.as_py()
                 new, said = replace(text, keyed) if text is not None else (None, [])
                 texts.append(new)
                 n.append(len(said))
                 kinds.append(",".join(sorted({k for k, _, _ in said})))
-            cols = [pa.array(texts, pa.string()) if f.name == text_col else batch.column(i) for i, f in enumerate(batch.schema)]
+            cols = [pa.array(texts, pa.string()) if f.name == at else batch.column(i) for i, f in enumerate(batch.schema)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(kinds, pa.string())], names=[*batch.schema.names, "_n_entities", "_kinds"])
 
     text_batches(docs)
-    own = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    own = apart.df.withColumn(at, F.col(at).cast("string"))
     schema = T.StructType([*own.schema.fields, T.StructField("_n_entities", T.LongType()), T.StructField("_kinds", T.StringType())])
-    return own.mapInArrow(run, schema)
+    return apart.back(own.mapInArrow(run, schema), "_n_entities", "_kinds")
 
 
 def surrogate_map(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
