@@ -84,6 +84,48 @@ def test_license_coverage_needs_words_in_place():
     assert index.scan(license_scan.words_of("MITLicense mit-license MİT license".encode()))[0] == [1]
 
 
+def brute_labels(text):
+    """Every template at every place of the text: all words compared, no index."""
+    index, w = license_scan.Index(), license_scan.words_of(text)
+    df = Counter(x for t in index.templates for x in set(t.words))
+    idf = {x: math.log((len(index.templates) + 1) / c) for x, c in df.items()}
+    own, best = set(), 0.0
+    for t in index.templates:
+        weight = sum(idf[x] for x in t.words)
+        for s in range(-len(t.words), len(w)):
+            share = sum(idf[x] for p, x in enumerate(t.words) if 0 <= s + p < len(w) and w[s + p] == x) / weight
+            lo = s + t.key_at
+            if lo >= 0 and tuple(w[lo : lo + t.key_len]) == t.words[t.key_at : t.key_at + t.key_len] and share >= t.needed - 1e-9:
+                best = max(best, share)
+                own |= set() if t.base else {t.label}
+    return own, min(best, 1.0)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_license_labels_equal_brute_force(seed):
+    rng = random.Random(seed)
+    notices = [*license_scan.NOTICES, *license_scan.tagged()]
+    for _ in range(25):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            words = rng.choice(notices)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 2, len(words) // 4, len(words) // 2])):
+                words[rng.randrange(len(words))] = rng.choice(["zzz", "the", "license", "version", "software"])
+            a = rng.choice([0, 0, rng.randrange(len(words))])
+            parts += ["some other words", " ".join(words[a:])]
+        text = rng.choice([" ", "\n", ", "]).join(parts).encode()
+        got = license_scan.Index().scan(license_scan.words_of(text))
+        want, best = brute_labels(text)
+        assert got[2] == want and got[3] == pytest.approx(best), text
+
+
+def test_license_notices():
+    scan = lambda t: license_scan.Index().scan(license_scan.words_of(t.encode()))[2]
+    assert "gpl-3.0" in scan("You can redistribute it and/or modify it under the terms of the GNU General Public License ... version 3")
+    assert scan("# SPDX-License-Identifier: MIT") == {"mit"} and scan("SPDX-License-Identifier: GPL-2.0-or-later") == {"gpl-2.0-or-later"}
+    assert "apache-2.0" in scan("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance")
+
+
 def test_language_id(spark, empty):
     rng = random.Random(2)
     made = {"aa": ["kor", "tik", "pako", "rit", "okta"], "bb": ["mila", "lume", "nali", "umel", "ilam"], "cc": ["жуза", "шож", "зажу", "ужош"]}
