@@ -10,7 +10,7 @@ bound on labelled rows; prediction covers every document and its whole text.
 
 Defined results: null text or a text without a letter is ``und`` with score 0; so is everything if nothing can be learned
 from. Rows with null language or null text are not learned from. Repeated rows give repeated rows; other columns than
-id, text and language are ignored; an empty table gives an empty table.
+id, text and language are ignored; an empty table gives an empty table. Profiles are held by every task: ``PROFILE`` n-grams a language.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ from .common import text_batches
 PROFILE = 300
 #: Bound on the labelled documents that each language's profile is learned from.
 DOCS_PER_LANG = 2000
-#: More languages than this are refused, as profiles are held by every task.
-MOST_LANGS = 5000
 #: A document whose score is below this is rejected by the pipeline's stage, besides those without a language.
 MIN_SCORE = 0.05
 
@@ -40,24 +38,26 @@ _BITS = 21
 _FOLD: list[np.ndarray] = []
 
 
-def _fold() -> np.ndarray:
-    """For each code point its lower case if it is a letter or a mark, else 0."""
+def _fold() -> list[np.ndarray]:
+    """For each code point its lower case if it is a letter or a mark, else 0; and whether it is a mark."""
     if not _FOLD:
-        t = np.zeros(sys.maxunicode + 1, np.uint32)
+        t, mark = np.zeros(sys.maxunicode + 1, np.uint32), np.zeros(sys.maxunicode + 1, bool)
         for i in range(sys.maxunicode + 1):
             c = chr(i)
-            if c.isalpha() or unicodedata.category(c)[0] == "M":
+            mark[i] = unicodedata.category(c)[0] == "M"
+            if c.isalpha() or mark[i]:
                 low = c.lower()
                 t[i] = ord(low) if len(low) == 1 else i
-        _FOLD.append(t)
-    return _FOLD[0]
+        _FOLD.extend((t, mark))
+    return _FOLD
 
 
 def grams(text: str) -> tuple[np.ndarray, int]:
-    """All 1-, 2- and 3-grams of a text as numbers, and how many letters it has. 1 marks a word's edge."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    c = _fold()[np.minimum(codes, sys.maxunicode)]
-    letters = int(np.count_nonzero(c))
+    """All 1-, 2- and 3-grams of a text as numbers, and how many letters it has, without marks. 1 marks a word's edge."""
+    codes = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), sys.maxunicode)
+    fold, mark = _fold()
+    c = fold[codes]
+    letters = int(np.count_nonzero(c)) - int(np.count_nonzero(mark[codes]))
     if not letters:
         return np.empty(0, np.uint64), 0
     c = np.concatenate(([0], c, [0])).astype(np.uint64)
@@ -65,7 +65,7 @@ def grams(text: str) -> tuple[np.ndarray, int]:
     c = c[~(gap & np.concatenate(([False], gap[:-1])))]  # one mark between words
     c[c == 0] = 1
     two = (c[:-1] << np.uint64(_BITS)) | c[1:]
-    three = (two[:-1] << np.uint64(_BITS)) | c[2:]
+    three = ((two[:-1] << np.uint64(_BITS)) | c[2:])[c[1:-1] != 1]  # within a word
     return np.concatenate((c[c != 1], two, three)), letters
 
 
@@ -86,26 +86,35 @@ def top(keys: np.ndarray, n: np.ndarray, k: int = PROFILE) -> np.ndarray:
 
 
 class Profiles:
-    """Ranks of all languages' n-grams side by side."""
+    """All languages' n-grams in order; each has the languages whose profile holds it, with its rank there."""
 
     def __init__(self, ranked: dict[str, list[int]], length: int = PROFILE):
         self.langs, self.length = sorted(ranked), length
-        self.keys = np.unique(np.array([g for v in ranked.values() for g in v], np.uint64))
-        self.ranks = np.full((len(self.keys) + 1, len(self.langs)), -1, np.int32)
-        for j, lang in enumerate(self.langs):
-            g = np.array(ranked[lang], np.uint64)
-            self.ranks[np.searchsorted(self.keys, g), j] = np.arange(len(g))
+        gram = np.array([g for lang in self.langs for g in ranked[lang]], np.uint64)
+        lang = np.repeat(np.arange(len(self.langs)), [len(ranked[x]) for x in self.langs])
+        rank = np.array([i for x in self.langs for i in range(len(ranked[x]))], np.int64)
+        order = np.lexsort((lang, gram))
+        self.lang, self.rank = lang[order], rank[order]
+        self.keys, self.start = np.unique(gram[order], return_index=True)
+        self.many = np.diff(np.append(self.start, len(gram)))
+
+    def distances(self, own: np.ndarray) -> np.ndarray:
+        """Out-of-place distance of a document's n-grams, most frequent first, to each language."""
+        far = np.full(len(self.langs), self.length * len(own), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        place = np.flatnonzero(self.keys[at] == own) if len(self.keys) else np.zeros(0, np.int64)
+        at = at[place]
+        n = self.many[at]
+        entry = np.repeat(self.start[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        apart = np.minimum(np.abs(self.rank[entry] - np.repeat(place, n)), self.length)
+        return far - np.bincount(self.lang[entry], weights=self.length - apart, minlength=len(far)).astype(np.int64)
 
     def predict(self, text: str | None) -> tuple[str, float, int]:
         keys, letters = grams(text) if text else (np.empty(0, np.uint64), 0)
         if not letters or not self.langs:
             return UND, 0.0, letters
         own = top(*counted(keys), self.length)
-        at = np.searchsorted(self.keys, own)
-        at[at == len(self.keys)] = 0
-        at = np.where(self.keys[at] == own, at, len(self.keys)) if len(self.keys) else np.zeros(len(own), int)
-        r = self.ranks[at]
-        d = np.where(r < 0, self.length, np.minimum(np.abs(r - np.arange(len(own))[:, None]), self.length)).sum(axis=0)
+        d = self.distances(own)
         j = int(np.argmin(d))
         return self.langs[j], float(1 - d[j] / (self.length * len(own))), letters
 
@@ -113,13 +122,9 @@ class Profiles:
 def learn(labelled: DataFrame, docs_per_lang: int = DOCS_PER_LANG, length: int = PROFILE) -> Profiles:
     """Profiles from rows (id, text, lang), none of them null in text and lang."""
     text_batches(labelled)
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
-    if len(sizes) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    if not sizes:
-        return Profiles({}, length)
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n)))])
-    chosen = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count(F.lit(1))).alias("share"))
+    point = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = labelled.join(F.broadcast(sizes), "lang").where(point < F.col("share")).select("lang", "text")  # a row per language
 
     def count(batches):
         for batch in batches:

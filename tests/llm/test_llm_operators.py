@@ -166,6 +166,36 @@ def test_language_distance_by_hand():
     assert letters == 7 and all(inside[g] == c for g, c in want.items())
 
 
+def test_language_distance_equals_brute_force():
+    """The out-of-place distance by plain dictionaries, and the language that it chooses."""
+    rng = random.Random(7)
+
+    def ranked(text, k=300):
+        c = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            p = f"\x01{w}\x01"
+            c.update(w)
+            c.update(p[i : i + 2] for i in range(len(p) - 1))
+            c.update(p[i : i + 3] for i in range(len(p) - 2))
+        number = lambda g: sum(ord(x) << language_id._BITS * (len(g) - 1 - i) for i, x in enumerate(g))
+        return [number(g) for g, _ in sorted(c.items(), key=lambda x: (-x[1], number(x[0])))[:k]]
+
+    vocab = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(80)] for lang, letters in (("aa", "abcdeé"), ("bb", "cdefgh"), ("cc", "жзиклм"), ("dd", "abdzxw"))}
+    text = lambda lang, n: " ".join(rng.choice(vocab[lang]) for _ in range(n))
+    known = {lang: ranked(text(lang, 3000)) for lang in vocab}
+    profiles = language_id.Profiles(known)
+    for lang in vocab:
+        for n in (1, 2, 5, 50, 600):
+            said = text(lang, n)
+            own = ranked(said)
+            want = {x: sum(min(abs(known[x].index(g) - i), 300) if g in known[x] else 300 for i, g in enumerate(own)) for x in sorted(known)}
+            assert profiles.distances(np.array(own, np.uint64)).tolist() == list(want.values())
+            best = min(want, key=lambda x: (want[x], x))
+            got = profiles.predict(said)
+            assert got[0] == best and got[1] == pytest.approx(1 - want[best] / (300 * len(own)))
+    assert profiles.predict("\u0301\u0301 123")[0] == "und" and profiles.predict("e\u0301")[2] == 1
+
+
 def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
     total = sum(sizes.values()) * share
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
