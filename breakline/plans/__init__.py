@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("calling_queries", "interval_queries", "function_queries", "graph_queries", "read_queries", "sink_queries")
+MODULES = ("calling_queries", "interval_queries", "function_queries", "graph_queries", "read_queries", "sink_queries", "gate_queries")
 
 
 def load() -> tuple[dict, dict]:
