@@ -8,8 +8,8 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from . import coords, seq
-from .cigar import count_indels, end_clip, has_large_indel, start_clip
+from . import seq
+from .cigar import end_clip, has_large_indel, start_clip
 from .coords import flag
 
 
@@ -171,9 +171,11 @@ def replacement_artefact(c, ref_seq: Column, ins_seq: Column, delta: int = 5, le
     return wanted & ~((forward > least_edit) & (inverted < most_inverted))
 
 
-def somatic_breakpoint_filters(c, in_pon: Column, has_no_assembly: Column) -> Column:
+def somatic_breakpoint_filters(c, in_pon: Column, has_no_assembly: Column, ref_seq: Column | None = None, ins_seq: Column | None = None) -> Column:
+    """Names of the filters that a call fails. The replaced reference and the inserted sequence, where known, tell replacement artefacts."""
     short = is_short_deldup(c)
     bias = F.greatest(c("sb"), 1 - c("sb"))
+    replaced = F.coalesce(replacement_artefact(c, ref_seq, ins_seq), F.lit(False)) if ref_seq is not None and ins_seq is not None else F.lit(False)
     return _named(
         ("PON", in_pon),
         ("strand_bias", c("sb").isNotNull() & short & (bias > 0.95)),
@@ -186,6 +188,7 @@ def somatic_breakpoint_filters(c, in_pon: Column, has_no_assembly: Column) -> Co
         ("smallNoSR", short & (c("n_sr") + c("t_sr") == 0)),
         ("small.del.ligation.fp", ligation_artefact(c)),
         ("small.inv.hom.fp", small_inversion(c)),
+        ("small.replacement.fp", replaced),
         ("cohortMinSize", too_small(c)),
         ("normalSupport", c("n_vf") > 0.03 * c("t_vf")),
         ("SRNormalSupport", short & (c("n_sr") != 0)),
@@ -232,6 +235,3 @@ def somatic_llr(n_ref: Column, n_var: Column, is_bp: Column, contamination: floa
 def shadow(short_event: Column, overlap_qual: Column, qual: Column, anrpq: Column, asq: Column, multiple: float = 3) -> Column:
     return ~short_event & (overlap_qual > multiple * qual) & (anrpq + anrpq > asq)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]
-del coords, count_indels

@@ -2,8 +2,8 @@
 
 Support nodes, their aggregation and error correction are tables (``kmers``). What is sequential, finding and removing the best
 path, runs per chunk of the genome and direction with numpy, on evidence that ``chunked`` pads so that each contig is found
-whole in the chunk where it starts. A chunk over the density limit is thinned out by a hash of the evidence before it is
-grouped, so that no group grows without bound.
+whole in the chunk where it starts. All evidence takes part. A group grows with the depth of its chunk: a caller who wants a bound on it takes a smaller
+``chunk``, which loses nothing, or gives ``most``, which thins a chunk out by a hash of the evidence.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
+
 K = 25
 ANCHOR_LENGTH = 300
 LEAST_READS = 3
 CHUNK = 10_000_000
-#: Evidence rows that one group may hold.
-MOST_IN_CHUNK = 200_000
 
 CONTIG_SCHEMA = "ref int, dir string, chunk long, contig_id int, start int, end int, weight long, n_reads int, anchor_start int, anchor_end int, seq string, evidence string"
 
@@ -200,16 +200,17 @@ def contigs_of_group(rows: list[tuple[str, str, int, int, int, list[bool]]], k:
     return out
 
 
-def chunked(ev: DataFrame, chunk: int, pad: int, most: int = MOST_IN_CHUNK) -> DataFrame:
-    """Evidence in every chunk that its place, padded, touches. Where a chunk holds more than ``most`` rows it is thinned out by a hash of the id, as the
-    coverage there is far beyond what an assembly needs; the density is counted first."""
+def chunked(ev: DataFrame, chunk: int, pad: int, most: int | None = None) -> DataFrame:
+    """Evidence in every chunk that its place, padded, touches; all of it, unless ``most`` is given: then a chunk of more rows is thinned out by a hash of the id."""
     spread = ev.withColumn("chunk", F.explode(F.sequence(F.floor((F.col("lo") - pad) / chunk).cast("long"), F.floor((F.col("hi") + pad) / chunk).cast("long"))))
+    if most is None:
+        return spread
     n = spread.groupBy("ref", "dir", "chunk").agg(F.count(F.lit(1)).alias("_n"))
     unit = F.conv(F.substring(F.md5(F.col("evidence_id").cast("binary")), 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48))
     return spread.join(n, ["ref", "dir", "chunk"]).where(unit * F.col("_n") < most).drop("_n")
 
 
-def assemble(ev: DataFrame, k: int = K, chunk: int = CHUNK, pad: int = 1000, least_reads: int = LEAST_READS) -> DataFrame:
+def assemble(ev: DataFrame, k: int = K, chunk: int = CHUNK, pad: int = 1000, least_reads: int = LEAST_READS, most: int | None = None) -> DataFrame:
     """Contigs of evidence (evidence_id, ref, dir, seq, lo, hi, weight, anchor_bases: bases at the anchored end, at the sequence's start for '+').
 
     A contig belongs to the chunk in which it starts.
@@ -231,7 +232,7 @@ def assemble(ev: DataFrame, k: int = K, chunk: int = CHUNK, pad: int = 1000, lea
         out.insert(0, "ref", ref)
         return out
 
-    return chunked(ev, chunk, pad).groupBy("ref", "dir", "chunk").applyInPandas(run, CONTIG_SCHEMA)
+    return chunked(ev, chunk, pad, most).groupBy("ref", "dir", "chunk").applyInPandas(run, CONTIG_SCHEMA)
 
 
 def corrected(ev: DataFrame, fixes: DataFrame, k: int) -> DataFrame:
@@ -276,10 +277,10 @@ def simplify_paths(nodes: DataFrame) -> DataFrame:
     return marked.groupBy("code", "weight", "is_ref", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_g")
 
 
-def path_nodes(nodes: DataFrame, k: int, most_rounds: int = 20) -> DataFrame:
+def path_nodes(nodes: DataFrame, k: int) -> DataFrame:
     """Unbranched chains of point nodes (kmer, pos, weight) as one node each: (head, start, length, seq, weight).
 
-    Pointer jumping: each round doubles how far a node sees along its chain.
+    Pointer jumping: each round doubles how far a node sees along its chain, until no node sees further; rounds are written.
     """
     a = nodes.select(F.concat_ws("@", "kmer", F.col("pos").cast("string")).alias("id"), F.substring("kmer", 2, k - 1).alias("mid"), (F.col("pos") + 1).alias("next"))
     b = nodes.select(F.concat_ws("@", "kmer", F.col("pos").cast("string")).alias("to"), F.substring("kmer", 1, k - 1).alias("mid"), F.col("pos").alias("next"))
@@ -289,9 +290,10 @@ def path_nodes(nodes: DataFrame, k: int, most_rounds: int = 20) -> DataFrame:
     link = one_out.join(one_in, "to", "left_semi").select(F.col("to").alias("id"), F.col("id").alias("up"))
     all_ids = nodes.select(F.concat_ws("@", "kmer", F.col("pos").cast("string")).alias("id"), "kmer", "pos", "weight")
     head = all_ids.select("id").join(link, "id", "left").select("id", F.coalesce("up", "id").alias("head"))
-    for _ in range(most_rounds):
+    head = written(head, "heads")
+    while True:
         far = head.select(F.col("id").alias("head"), F.col("head").alias("further"))
-        nxt = head.join(far, "head").select("id", F.col("further").alias("head"))
+        nxt = written(head.join(far, "head").select("id", F.col("further").alias("head")), "heads")
         if nxt.join(head, ["id", "head"], "left_anti").isEmpty():
             break
         head = nxt

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .calling import BOX_KEYS
 from .intervals import _islands, box_join
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """A written table in the folder that the cluster names: cuts the lineage of the rounds."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/breakline-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .tables import written as _written
 
 
 def normal_calls(genotypes: DataFrame, keys: list[str], least_qual: float = 75, least_bq: float = 428) -> DataFrame:
@@ -33,18 +24,18 @@ def merge_breakends(be: DataFrame, keys: tuple[str, ...] = ("ref", "dir"), margi
     return _islands(exact, list(keys), margin, [F.sum("_n").cast("long").alias("n")])
 
 
-def merge_breakpoints(bp: DataFrame, width: int, margin: int = 1, most_rounds: int = 100) -> DataFrame:
+def merge_breakpoints(bp: DataFrame, width: int, margin: int = 1) -> DataFrame:
     """Breakpoints (ref1, dir1, start1, end1, ref2, ..., n) that overlap or touch on both sides become one box, until no two boxes do.
 
     A round finds the overlaps by a binned join, spreads the smallest id along them and merges; merged boxes can meet others, so
-    rounds go on until nothing changes.
+    rounds go on until nothing changes; each makes the boxes fewer.
     """
     low = (F.col("ref1") < F.col("ref2")) | ((F.col("ref1") == F.col("ref2")) & (F.col("start1") <= F.col("start2")))
     box = ["start1", "end1", "start2", "end2"]
     cur = bp.where(low).groupBy(*BOX_KEYS, *box).agg(F.sum("n").cast("long").alias("n"))
     cur = _written(cur.withColumn("id", F.concat_ws("_", *[F.col(c).cast("string") for c in [*BOX_KEYS, *box]])), "boxes")
     n = cur.count()
-    for k in range(most_rounds):
+    for k in itertools.count():
         wide = cur.select(*[F.col(c).alias(f"l_{c}") for c in [*BOX_KEYS, *box, "id"]]).withColumns({"l_start1": F.col("l_start1") - margin, "l_end1": F.col("l_end1") + margin, "l_start2": F.col("l_start2") - margin, "l_end2": F.col("l_end2") + margin})
         near = box_join(wide, cur, [(f"l_{c}", c) for c in BOX_KEYS], ("l_start1", "l_end1", "l_start2", "l_end2"), tuple(box), width)
         label = near.groupBy("id").agg(F.min("l_id").alias("to"))
@@ -53,7 +44,6 @@ def merge_breakpoints(bp: DataFrame, width: int, margin: int = 1, most_rounds: i
         if (left := cur.count()) == n:
             return cur.drop("id")
         n = left
-    raise RuntimeError("the panel didn't settle")
 
 
 def in_panel(calls: DataFrame, panel: DataFrame, width: int, gap: int = 4, least: int = 1) -> DataFrame:

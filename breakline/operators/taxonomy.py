@@ -5,38 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import written
 
-def closure(nodes: DataFrame, depth: int = 40) -> DataFrame:
+
+def closure(nodes: DataFrame) -> DataFrame:
     """All (taxid, ancestor, steps), each taxon its own ancestor at 0 steps. ``nodes``: taxid, parent, the root its own parent.
 
-    Pairs double their reach in each round, so a tree of depth d takes log2(d) joins.
+    Pairs double their reach in each round until a round finds no more, so a tree of depth d takes log2(d) + 1 joins. Rounds are written.
     """
     edges = nodes.where(F.col("taxid") != F.col("parent"))
     reach = nodes.select("taxid", F.col("taxid").alias("ancestor"), F.lit(0).alias("steps")).unionByName(edges.select("taxid", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
-    span = 1
-    while span < depth:
+    reach = written(reach.groupBy("taxid", "ancestor").agg(F.min("steps").alias("steps")), "closure")
+    n = reach.count()
+    while True:
         far = reach.select(F.col("taxid").alias("ancestor"), F.col("ancestor").alias("_up"), F.col("steps").alias("_more"))
-        reach = reach.join(far, "ancestor").groupBy("taxid", F.col("_up").alias("ancestor")).agg(F.min(F.col("steps") + F.col("_more")).alias("steps"))
-        span *= 2
-    return reach
+        reach = written(reach.join(far, "ancestor").groupBy("taxid", F.col("_up").alias("ancestor")).agg(F.min(F.col("steps") + F.col("_more")).alias("steps")), "closure")
+        if (found := reach.count()) == n:
+            return reach
+        n = found
 
 
-def descendants(nodes: DataFrame, roots: list[int], depth: int = 40) -> DataFrame:
+def descendants(nodes: DataFrame, roots: list[int]) -> DataFrame:
     """Taxa at or below any of the roots."""
-    return closure(nodes, depth).where(F.col("ancestor").isin(*roots)).select("taxid").distinct()
+    return closure(nodes).where(F.col("ancestor").isin(*roots)).select("taxid").distinct()
 
 
-def tree_sums(direct: DataFrame, nodes: DataFrame, depth: int = 40) -> DataFrame:
+def tree_sums(direct: DataFrame, nodes: DataFrame) -> DataFrame:
     """Reads of each taxon and all below it (direct: taxid, reads)."""
-    return direct.join(closure(nodes, depth), "taxid").groupBy(F.col("ancestor").alias("taxid")).agg(F.sum("reads").cast("long").alias("tree_reads"))
+    return direct.join(closure(nodes), "taxid").groupBy(F.col("ancestor").alias("taxid")).agg(F.sum("reads").cast("long").alias("tree_reads"))
 
 
-def rank_taxa(report: DataFrame, nodes: DataFrame, level: str, least_reads: int, per_group: int, most: int, depth: int = 40) -> DataFrame:
+def rank_taxa(report: DataFrame, nodes: DataFrame, level: str, least_reads: int, per_group: int, most: int) -> DataFrame:
     """The best taxa, no more than ``per_group`` below one ancestor at ``level``: (taxid, group, tree_reads, direct_reads).
 
     ``report``: taxid, tree_reads, direct_reads, has_sequence; ``nodes`` has ``rank``. A taxon without such an ancestor is its own group.
     """
-    up = closure(nodes, depth).join(nodes.select(F.col("taxid").alias("ancestor"), "rank"), "ancestor").where(F.col("rank") == level)
+    up = closure(nodes).join(nodes.select(F.col("taxid").alias("ancestor"), "rank"), "ancestor").where(F.col("rank") == level)
     group = up.groupBy("taxid").agg(F.min_by("ancestor", F.struct("steps", "ancestor")).alias("group"))
     ok = report.where(F.col("has_sequence") & (F.col("tree_reads") >= least_reads)).join(group, "taxid", "left").withColumn("group", F.coalesce("group", "taxid"))
     order = [F.desc("direct_reads"), F.desc("tree_reads"), F.asc("taxid")]

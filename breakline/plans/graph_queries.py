@@ -140,7 +140,7 @@ def j24_truth(spark, d):
     return links.truth_annotation(e, e.where("dir = '+'"), 2)
 
 
-@query(None)
+@query("SELECT CAST(c_custkey AS VARCHAR) || e AS id, CASE WHEN e = 'xo' THEN CAST(c_custkey AS VARCHAR) || 'yo,' || CAST(c_custkey AS VARCHAR) || 'zo' ELSE CAST(c_custkey AS VARCHAR) || 'zh,' || CAST(c_custkey AS VARCHAR) || 'yh' END AS path, CAST(400 + c_nationkey AS BIGINT) AS distance FROM customer, (SELECT unnest(['xo', 'xh']) AS e)")
 def j22_transitive_paths(spark, d):
     """A call from A to B beside two calls from A to C and from C to B, for each customer; tested by hand-made cases."""
     c = A.view(spark, d, "SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_nationkey AS INT) AS n FROM {customer}")
@@ -163,7 +163,7 @@ _TREE = "up AS (WITH RECURSIVE u(taxid, ancestor, steps) AS (SELECT taxid, taxid
 
 @query(f", {_TREE} SELECT taxid, ancestor, steps FROM up", tax=A.TAX)
 def j25_closure(spark, d):
-    return taxonomy.closure(A.view(spark, d, A.TAX), 4)
+    return taxonomy.closure(A.view(spark, d, A.TAX))
 
 
 _DIRECT = "SELECT CAST(1000000 + o_custkey AS BIGINT) AS taxid, CAST(count(*) AS BIGINT) AS reads FROM {orders} GROUP BY o_custkey"
@@ -175,7 +175,7 @@ _HAS = "SELECT CAST(1000000 + c_custkey AS BIGINT) AS taxid FROM {customer} WHER
 
 @query(f", {_TREE} SELECT ancestor AS taxid, CAST(sum(reads) AS BIGINT) AS tree_reads FROM direct JOIN up USING (taxid) GROUP BY 1", tax=A.TAX, direct=_DIRECT)
 def a31_tree_sums(spark, d):
-    return taxonomy.tree_sums(A.view(spark, d, _DIRECT), A.view(spark, d, A.TAX), 4)
+    return taxonomy.tree_sums(A.view(spark, d, _DIRECT), A.view(spark, d, A.TAX))
 
 
 @query(
@@ -187,8 +187,8 @@ SELECT * FROM (SELECT taxid, "group", tree_reads, direct_reads FROM (SELECT *, r
 def a31_rank_taxa(spark, d):
     tax, direct = A.view(spark, d, A.TAX), A.view(spark, d, _DIRECT)
     has = A.view(spark, d, _HAS).withColumn("has_sequence", F.lit(True))
-    rep = taxonomy.tree_sums(direct, tax, 4).join(direct, "taxid", "left").join(has, "taxid", "left").select("taxid", "tree_reads", F.coalesce("reads", F.lit(0)).cast("long").alias("direct_reads"), F.coalesce("has_sequence", F.lit(False)).alias("has_sequence"))
-    return taxonomy.rank_taxa(rep, tax, "genus", 5, 2, 20, 4)
+    rep = taxonomy.tree_sums(direct, tax).join(direct, "taxid", "left").join(has, "taxid", "left").select("taxid", "tree_reads", F.coalesce("reads", F.lit(0)).cast("long").alias("direct_reads"), F.coalesce("has_sequence", F.lit(False)).alias("has_sequence"))
+    return taxonomy.rank_taxa(rep, tax, "genus", 5, 2, 20)
 
 
 _FOUND = "SELECT CAST(l_suppkey AS BIGINT) AS taxid, CAST(l_linenumber AS INT) AS source_order, concat('seq', CAST(l_partkey AS STRING)) AS seq_id FROM {lineitem} WHERE l_returnflag = 'A'"

@@ -54,16 +54,22 @@ def identify_breakends(ev: DataFrame) -> DataFrame:
     return calling.interval_cliques(one, ["ref", "dir"])
 
 
-def allocate_evidence(ev: DataFrame, calls: DataFrame, bin_width: int, config: Config | None = None) -> DataFrame:
-    """Calls with the counts and qualities of the evidence that supports each best, and their filters."""
+def allocate_evidence(ev: DataFrame, calls: DataFrame, bin_width: int, config: Config | None = None, write_filtered: bool = True) -> DataFrame:
+    """Calls with the counts and qualities of the evidence that supports each best, the assemblies among it (``is_assembly``, where ``ev`` tells), and their filters.
+
+    Without ``write_filtered`` calls that fail any go.
+    """
     config = config or Config()
     got = ev.join(allocate.assign_unique(ev, calls, bin_width, config.calling.breakend_margin).select("evidence_id", "call_id"), "evidence_id")
     s = annotate.support(got, ["call_id"]).join(annotate.fragments(got, ["call_id"]), "call_id")
-    j = calls.join(s, "call_id", "left").na.fill(0, ["qual", "vf"])
+    known = "is_assembly" in ev.columns
+    made = got.groupBy("call_id").agg(F.count_if(F.col("is_assembly") if known else F.lit(False)).alias("assemblies"))
+    j = calls.join(s, "call_id", "left").join(made, "call_id", "left").na.fill(0, ["qual", "vf", "assemblies"])
     size = coords.event_size(F.col("ref1"), F.col("dir1"), F.col("start1"), F.col("ref2"), F.col("dir2"), F.col("start2"))
     q = coords.unscale_weight(F.col("qual"))
-    f = P.breakpoint_filters(size, F.coalesce(size == 0, F.lit(False)), q, F.col("vf"), F.lit(1), config.calling.min_size, config.calling.min_score, config.calling.min_reads)
-    return j.withColumn("filters", f)
+    f = P.breakpoint_filters(size, F.coalesce(size == 0, F.lit(False)), q, F.col("vf"), F.col("assemblies") if known else F.lit(1), config.calling.min_size, config.calling.min_score, config.calling.min_reads)
+    out = j.withColumn("filters", f)
+    return out.where(P.survives_allocation(F.col("filters"), q, F.col("vf"), write_filtered, config.calling.min_score, config.calling.min_reads))
 
 
 def annotate_reference_coverage(calls: DataFrame, spans: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from ..functions import coords
 from ..functions import predicates as P
 from ..operators import evidence, links, reads, taxonomy
 from ..operators.kmers import support_nodes
+from ..operators.tables import shared_root
 from ..sources import sinks
 from ..streaming import events as E
 from . import adapters as A
@@ -215,8 +215,7 @@ def _stream(spark, d: str):
 
 
 def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _streamed(spark, df):
@@ -244,7 +243,12 @@ def stream_merged_runs(spark, d):
     return _streamed(spark, got).select("user_id", F.unix_micros("w").alias("start"), "n")
 
 
-@query(None)
+@query(
+    """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch_us(ts) // 1000000 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT event_id, user_id, k, [sec] AS sent, TRUE AS ok FROM o WHERE k = 1
+UNION ALL SELECT o.event_id, o.user_id, o.k, list_filter(r.sent, lambda x: x > o.sec - 21600) || CASE WHEN len(list_filter(r.sent, lambda x: x > o.sec - 21600)) < 3 THEN [o.sec] ELSE [] END, len(list_filter(r.sent, lambda x: x > o.sec - 21600)) < 3 FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1)
+SELECT event_id, user_id FROM r WHERE ok"""
+)
 def stream_throttled(spark, d):
     """At most three events of a user in any six hours, by keyed state."""
     return _streamed(spark, E.throttled(_stream(spark, d), "user_id", "ts", 6 * 3600, 3, "1 hour")).select("event_id", "user_id")

@@ -372,3 +372,33 @@ def test_taxonomy(spark):
     nodes = spark.createDataFrame([(1, 1, "root"), (2, 1, "genus"), (3, 2, "species"), (4, 2, "species"), (5, 1, "species")], "taxid long, parent long, rank string")
     assert {r["taxid"] for r in taxonomy.descendants(nodes, [2]).collect()} == {2, 3, 4}
     assert {r["taxid"]: r["tree_reads"] for r in taxonomy.tree_sums(spark.createDataFrame([(3, 5), (4, 2)], "taxid long, reads long"), nodes).collect()} == {1: 7, 2: 7, 3: 5, 4: 2}
+
+
+def test_long_chains_deep_trees_and_dense_chunks(spark):
+    """Nothing stops at a number of rounds, and nothing is thinned out unasked."""
+    import random
+
+    from breakline.operators import assembly, taxonomy
+
+    rng = random.Random(3)
+    seq = "".join(rng.choice("ACGT") for _ in range(10_024))
+    nodes = spark.createDataFrame([(seq[i : i + 25], i, 1) for i in range(10_000)], "kmer string, pos long, weight long")
+    (row,) = assembly.path_nodes(nodes, 25).collect()
+    assert (row.start, row.length, row.seq, row.weight) == (0, 10_000, seq, 10_000)
+    tree = spark.range(1, 301).selectExpr("id AS taxid", "greatest(id - 1, 1) AS parent")
+    got = taxonomy.closure(tree)
+    assert got.count() == 300 * 301 // 2 and got.selectExpr("max(steps)").first()[0] == 299
+    dense = spark.range(300_000).selectExpr("CAST(id AS STRING) AS evidence_id", "0 AS ref", "'+' AS dir", "5000 AS lo", "5010 AS hi")
+    assert assembly.chunked(dense, 10_000_000, 1000).count() == 300_000
+    assert 0 < assembly.chunked(dense, 10_000_000, 1000, 1000).count() < 2000
+
+
+def test_allocated_calls_know_their_assemblies(spark):
+    from breakline.plans import adapters as A
+    from breakline.plans import programs
+
+    ev, calls = (A.view(spark, "/root/testdata/sf0.001", x) for x in (A.EV, A.CALLS))
+    got = programs.allocate_evidence(ev, calls, 64).collect()
+    assert any(r.assemblies for r in got) and all(("NO_ASSEMBLY" in r.filters) == (r.assemblies == 0) for r in got)
+    kept = programs.allocate_evidence(ev, calls, 64, write_filtered=False).collect()
+    assert all(not r.filters for r in kept) and len(kept) <= sum(not r.filters for r in got)
