@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import cigar as C
@@ -9,6 +11,9 @@ from ..functions import coords
 from ..functions import predicates as P
 from ..functions import seq as S
 from ..operators import evidence, intervals, links, reads, taxonomy
+from ..operators.tables import shared_root
+from ..sources import sinks
+from ..streaming import events as E
 from . import adapters as A
 from . import programs
 from .graph_queries import _NEAR
@@ -307,3 +312,111 @@ def simulated_deletions(spark, d):
     """Deletions every 1000 bases of a contig as long as all texts."""
     n = spark.read.parquet(f"{d}/documents.parquet").agg(F.sum("n_chars")).first()[0]
     return programs.simulate_deletions(int(n), 300, 1000, spark)
+
+
+@query(
+    """, h AS (SELECT mapq, count(*) AS n FROM reads GROUP BY 1) SELECT 0 AS line_no, '## METRICS CLASS' || chr(9) || 'Mapq' AS value UNION ALL SELECT 1, 'mapq' || chr(9) || 'n' UNION ALL SELECT 2, CAST(mapq AS VARCHAR) || chr(9) || CAST(n AS VARCHAR) FROM h""",
+    reads=A.READS,
+)
+def k12_metrics_lines(spark, d):
+    return sinks.metrics_lines(A.view(spark, d, A.READS).groupBy("mapq").agg(F.count(F.lit(1)).alias("n")), "Mapq")
+
+
+@query("SELECT read, md5('>asm' || CAST(read AS VARCHAR) || chr(10) || array_to_string(list_transform(range(0, greatest(CAST(ceil(length(seq) / 60.0::DOUBLE) AS INTEGER), 1)), lambda i: substr(seq, i * 60 + 1, 60)), chr(10))) AS record FROM seqs", seqs=A.SEQS)
+def k13_assembly_fasta(spark, d):
+    s = A.view(spark, d, A.SEQS).select("read", F.concat(F.lit("asm"), F.col("read").cast("string")).alias("name"), "seq")
+    got = sinks.assembly_fasta(s.select("name", "seq")).withColumn("read", F.regexp_extract("value", r"^>asm(\d+)", 1).cast("long"))
+    return got.select("read", F.md5(F.col("value").cast("binary")).alias("record"))
+
+
+@query(
+    """SELECT '<node id="' || CAST(taxid AS VARCHAR) || '" label="' || rank || '"><attvalues><attvalue for="weight" value="' || CAST(taxid % 10 AS VARCHAR) || '"/></attvalues></node>' AS value FROM tax UNION ALL SELECT '<edge source="' || CAST(parent AS VARCHAR) || '" target="' || CAST(taxid AS VARCHAR) || '"/>' FROM tax WHERE taxid <> parent""",
+    tax=A.TAX,
+)
+def k15_graph_export(spark, d):
+    t = A.view(spark, d, A.TAX)
+    return sinks.gexf_lines(t.select(_C("taxid").alias("id"), _C("rank").alias("label"), (_C("taxid") % 10).alias("weight")), t.where("taxid <> parent").select(_C("parent").alias("source"), _C("taxid").alias("target")))
+
+
+_VCF = """SELECT concat('chr', CAST(ref1 AS STRING)) AS chrom, start1 AS pos, concat('c', CAST(call_id AS STRING), 'o') AS id, CASE WHEN score % 5 = 0 THEN 'N' ELSE 'A' END AS ref_base, dir1 AS dir, '' AS inserted, concat('chr', CAST(ref2 AS STRING)) AS mate_chrom, start2 AS mate_pos, dir2 AS mate_dir,
+CAST(score AS DOUBLE) AS qual, concat('c', CAST(call_id AS STRING)) AS event, concat('c', CAST(call_id AS STRING), 'h') AS mate_id, start1 AS ci_start, end1 AS ci_end, start2 AS mate_ci_start, end2 AS mate_ci_end, score AS vf, start1 % 7 AS ref_reads, CASE WHEN score % 3 = 0 THEN NULL ELSE score % 11 END AS ref_pairs, score % 4 AS t_vf, score % 6 AS t_ref_reads, CASE WHEN score % 2 = 0 THEN NULL ELSE score % 8 END AS t_ref_pairs FROM (""" + A.CALLS + ") x"
+
+
+@query(
+    """SELECT concat_ws(chr(9), chrom, CAST(pos AS VARCHAR), id, ref_base, CASE WHEN dir = '+' THEN ref_base || CASE WHEN mate_dir = '+' THEN ']' ELSE '[' END || mate_chrom || ':' || CAST(mate_pos AS VARCHAR) || CASE WHEN mate_dir = '+' THEN ']' ELSE '[' END ELSE CASE WHEN mate_dir = '+' THEN ']' ELSE '[' END || mate_chrom || ':' || CAST(mate_pos AS VARCHAR) || CASE WHEN mate_dir = '+' THEN ']' ELSE '[' END || ref_base END,
+printf('%.2f', qual), 'PASS', concat_ws(';', 'EVENT=' || event, 'MATEID=' || mate_id, 'SVTYPE=BND', CASE WHEN ci_end > ci_start THEN 'CIPOS=0,' || CAST(ci_end - pos AS VARCHAR) END, 'CIRPOS=0,' || CAST(mate_ci_end - mate_pos AS VARCHAR), 'VF=' || CAST(vf AS VARCHAR), 'REF=' || CAST(ref_reads AS VARCHAR), 'REFPAIR=' || CAST(ref_pairs AS VARCHAR), CASE WHEN ci_end > ci_start THEN 'IMPRECISE' END),
+'VF:REF:REFPAIR', CAST(t_vf AS VARCHAR) || ':' || CAST(t_ref_reads AS VARCHAR) || ':' || coalesce(CAST(t_ref_pairs AS VARCHAR), '.')) AS value FROM calls""",
+    calls=_VCF,
+)
+def k1_vcf_with_samples(spark, d):
+    return sinks.vcf_lines(A.view(spark, d, _VCF).withColumn("filters", F.array().cast("array<string>")), ("t",))
+
+
+@query(
+    """, a AS (SELECT * FROM ends WHERE event % 3 <> 0), b AS (SELECT * FROM ends WHERE event % 3 <> 1), p AS (SELECT q.id AS q, s.id AS s FROM a q JOIN b s ON q.sample = s.sample AND q.ref = s.ref AND q.start - 501 <= s."end" AND s.start <= q."end" + 501 AND q.dir = s.dir),
+x AS (SELECT sample, count(*) FILTER (id IN (SELECT q FROM p)) AS shared, count(*) FILTER (id NOT IN (SELECT q FROM p)) AS first_only, CAST(sum(qual) AS BIGINT) AS first_qual FROM a GROUP BY 1), y AS (SELECT sample, count(*) FILTER (id NOT IN (SELECT s FROM p)) AS second_only, CAST(sum(qual) AS BIGINT) AS second_qual FROM b GROUP BY 1)
+SELECT coalesce(x.sample, y.sample) AS sample, coalesce(shared, 0) AS shared, coalesce(first_only, 0) AS first_only, coalesce(first_qual, 0) AS first_qual, coalesce(second_only, 0) AS second_only, coalesce(second_qual, 0) AS second_qual FROM x FULL JOIN y ON x.sample = y.sample""",
+    ends=A.ENDS,
+)
+def a34_cohort_summary(spark, d):
+    e = A.view(spark, d, A.ENDS)
+    return links.cohort_summary(e.where("event % 3 <> 0"), e.where("event % 3 <> 1"), 500)
+
+
+@query(
+    'SELECT region_id AS id, (SELECT count(*) FROM reads WHERE reads.ref = regions.ref AND abs(reads.start - regions.start) <= 60 AND abs(reads."end" - regions."end") <= 60) AS n_reads FROM regions',
+    regions=A.REGIONS,
+    reads=A.READS,
+)
+def j24_validated_deletions(spark, d):
+    return links.validated_deletions(A.view(spark, d, A.REGIONS).withColumnRenamed("region_id", "id"), A.view(spark, d, A.READS), 60)
+
+
+_OWN = "SELECT call_id, CASE WHEN score % 2 = 0 THEN 'chr1:5|+|10M|60' END AS own FROM (" + A.CALLS + ") x"
+_HIT = "SELECT CAST(call_id - 1000000 AS BIGINT) AS call_id, ref1 AS ref, start1 AS pos, dir1 AS strand, '30M' AS cigar, CAST(score % 60 AS INT) AS mapq FROM (" + A.BE_CALLS + ") x"
+
+
+def _inserted(mode: str) -> str:
+    kept = {"APPEND": "list_concat(own, fresh)", "REPLACE": "fresh", "ADD_MISSING": "CASE WHEN len(own) > 0 THEN own ELSE fresh END", "SKIP": "own"}[mode]
+    return f"SELECT call_id, '{mode}' AS mode, array_to_string({kept}, ',') AS alignments FROM j"
+
+
+@query(
+    """, n AS (SELECT call_id, list(concat(CAST(ref AS VARCHAR), ':', CAST(pos AS VARCHAR), '|', strand, '|', cigar, '|', CAST(mapq AS VARCHAR)) ORDER BY mapq DESC) AS fresh FROM hits GROUP BY 1),
+j AS (SELECT o.call_id, CASE WHEN own IS NULL THEN []::VARCHAR[] ELSE [own] END AS own, coalesce(fresh, []::VARCHAR[]) AS fresh FROM own_calls o LEFT JOIN n ON n.call_id = o.call_id) """
+    + " UNION ALL ".join(_inserted(m) for m in programs.INSERTED_MODES),
+    own_calls=_OWN,
+    hits=_HIT,
+)
+def annotate_inserted_sequences(spark, d):
+    """All modes of the program, one after the other."""
+    calls = A.view(spark, d, _OWN).select("call_id", F.array_compact(F.array("own")).alias("alignments"))
+    hits, out = A.view(spark, d, _HIT), None
+    for mode in programs.INSERTED_MODES:
+        got = programs.annotate_inserted_sequence(calls, hits, mode).select("call_id", F.lit(mode).alias("mode"), F.array_join("alignments", ",").alias("alignments"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(
+    """WITH p AS (SELECT unnest(range(0, greatest((n - 300) // 700, 0))) AS id FROM (SELECT CAST(sum(n_chars) AS BIGINT) AS n FROM documents)), k AS (SELECT id, (['DEL', 'DUP', 'INV', 'INS'])[id % 4 + 1] AS kind, CAST((id + 1) * 700 AS INTEGER) AS pos1 FROM p)
+SELECT id AS call_id, kind, CASE WHEN kind = 'DUP' THEN '-' ELSE '+' END AS dir1, pos1, CASE WHEN kind IN ('DUP', 'INV') THEN '+' ELSE '-' END AS dir2, CASE WHEN kind = 'INS' THEN pos1 + 1 ELSE pos1 + 301 END AS pos2, CASE WHEN kind = 'INS' THEN 300 ELSE 0 END AS ins_len FROM k"""
+)
+def simulated_variants(spark, d):
+    n = spark.read.parquet(f"{d}/documents.parquet").agg(F.sum("n_chars")).first()[0]
+    return programs.simulate_variants(int(n), 300, 700, spark)
+
+
+@query("SELECT event_type AS route, event_id, user_id FROM events UNION ALL SELECT 'even', event_id, user_id FROM events WHERE user_id % 2 = 0")
+def stream_fan_out(spark, d):
+    """One pass over a stream into a table per type and one of even users, one file a batch."""
+    kinds = [r[0] for r in spark.read.parquet(f"{d}/events.parquet").select("event_type").distinct().collect()]
+    routes = {k: _C("event_type") == k for k in kinds} | {"even": _C("user_id") % 2 == 0}
+    root = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    rows = E.read_limited(spark, d, spark.read.parquet(f"{d}/events.parquet").schema, 1, "events.parquet")
+    E.fan_out(rows, routes, f"{root}/out", f"{root}/state")
+    out = None
+    for name in routes:
+        got = spark.read.parquet(f"{root}/out/{name}").select(F.lit(name).alias("route"), "event_id", "user_id")
+        out = got if out is None else out.unionByName(got)
+    return out

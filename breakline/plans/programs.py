@@ -9,6 +9,7 @@ from ..functions import cigar as C
 from ..functions import coords
 from ..functions import predicates as P
 from ..operators import allocate, annotate, assembly, calling, evidence, intervals, kmers, links, metrics, pon, reads, taxonomy
+from ..operators.tables import written
 from ..sources import sinks
 from ..sources.config import Config
 
@@ -178,10 +179,43 @@ def simulate_deletions(contig_length: int, size: int, spacing: int, spark) -> Da
     return spark.range(n).select(F.col("id").alias("call_id"), F.lit(0).alias("ref1"), F.lit("+").alias("dir1"), pos.cast("int").alias("start1"), pos.cast("int").alias("end1"), F.lit(0).alias("ref2"), F.lit("-").alias("dir2"), (pos + size + 1).cast("int").alias("start2"), (pos + size + 1).cast("int").alias("end2"))
 
 
+def simulate_variants(contig_length: int, size: int, spacing: int, spark) -> DataFrame:
+    """A deletion, a duplication, an inversion and an insertion in turn every ``spacing`` bases, as breakpoint calls with the inserted length."""
+    n = max((contig_length - size) // spacing, 0)
+    at, kind = ((F.col("id") + 1) * spacing).cast("int"), F.element_at(F.array(*map(F.lit, ("DEL", "DUP", "INV", "INS"))), (F.col("id") % 4 + 1).cast("int"))
+    far = F.when(kind == "INS", at + 1).otherwise(at + size + 1)
+    return spark.range(n).select(F.col("id").alias("call_id"), kind.alias("kind"), F.when(kind == "DUP", "-").otherwise("+").alias("dir1"), at.alias("pos1"), F.when(kind.isin("DUP", "INV"), "+").otherwise("-").alias("dir2"), far.cast("int").alias("pos2"), F.when(kind == "INS", size).otherwise(0).alias("ins_len"))
+
+
+INSERTED_MODES = ("APPEND", "REPLACE", "ADD_MISSING", "SKIP")
+
+
+def annotate_inserted_sequence(calls: DataFrame, aligned: DataFrame, mode: str = "APPEND") -> DataFrame:
+    """Calls (call_id, alignments array<string>) with the alignments of their inserted sequences (call_id, ref, pos, strand, cigar, mapq), best mapping quality first.
+
+    APPEND adds to what a call has, REPLACE drops that, ADD_MISSING touches calls without any alone, SKIP leaves all as they are.
+    """
+    if mode not in INSERTED_MODES:
+        raise ValueError(f"{mode!r} is none of {INSERTED_MODES}")
+    if mode == "SKIP":
+        return calls
+    text = F.concat(F.col("ref").cast("string"), F.lit(":"), F.col("pos").cast("string"), F.lit("|"), "strand", F.lit("|"), "cigar", F.lit("|"), F.col("mapq").cast("string"))
+    new = aligned.groupBy("call_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("mapq")).alias("q"), text.alias("t")))), lambda x: x["t"]).alias("_new"))
+    own, fresh = F.coalesce("alignments", F.array().cast("array<string>")), F.coalesce("_new", F.array().cast("array<string>"))
+    got = {"APPEND": F.concat(own, fresh), "REPLACE": fresh, "ADD_MISSING": F.when(F.size(own) > 0, own).otherwise(fresh)}[mode]
+    return calls.join(new, "call_id", "left").withColumn("alignments", got).drop("_new")
+
+
+def collect_metrics_and_extract_sv_reads(rows: DataFrame, **options) -> tuple[dict, DataFrame]:
+    """Both from one scan: the reads are written once in the shared folder and read from there."""
+    held = written(rows, "reads")
+    return collect_metrics(held), extract_sv_reads(held, **options)
+
+
 PROGRAMS = {
     "CollectMetrics": collect_metrics, "ExtractSVReads": extract_sv_reads, "ExtractEvidence": extract_evidence, "IdentifyVariants": identify_variants, "IdentifyBreakends": identify_breakends, "AllocateEvidence": allocate_evidence,
     "AnnotateReferenceCoverage": annotate_reference_coverage, "AnnotateAlleleFraction": annotate_allele_fraction, "AssembleBreakends": assemble_breakends, "GeneratePon": generate_pon, "ReportThresholdCoverage": report_threshold_coverage,
     "ComputeCoverage": compute_coverage, "ComputeSamTags": compute_sam_tags, "SoftClipsToSplitReads": soft_clips_to_split_reads, "FragmentsToFastq": fragments_to_fastq, "IdentifyViralTaxa": identify_viral_taxa,
-    "ExtractBestViralReference": extract_best_viral_reference, "SubsetToTaxonomy": subset_to_taxonomy, "VirusIntegrations": virus_integrations, "SomaticFilter": somatic_filter, "LinkCalls": link_calls, "SanityCheck": sanity_check, "SimulateDeletions": simulate_deletions,
+    "ExtractBestViralReference": extract_best_viral_reference, "SubsetToTaxonomy": subset_to_taxonomy, "VirusIntegrations": virus_integrations, "SomaticFilter": somatic_filter, "LinkCalls": link_calls, "SanityCheck": sanity_check, "SimulateDeletions": simulate_deletions, "SimulateVariants": simulate_variants, "AnnotateInsertedSequence": annotate_inserted_sequence, "CollectMetricsAndExtractSVReads": collect_metrics_and_extract_sv_reads,
     "ReadsToBedpe": reads.reads_to_bedpe, "EvidenceToCsv": reads.evidence_csv, "SubsetToMissing": reads.missing_from, "InsertedSequencesToFasta": sinks.inserted_sequences, "UnmappedSequencesToFastq": sinks.unmapped_sequences, "ExtractOverlappingFragments": sinks.overlapping_fragments, "ReadPairs": sinks.read_pair_rows, "DumpReadSupport": sinks.read_support,
 }

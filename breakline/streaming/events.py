@@ -78,3 +78,25 @@ def run_to_memory(df: DataFrame, name: str, folder: str, mode: str = "append") -
 def run_to_parquet(df: DataFrame, path: str, folder: str) -> None:
     query = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", folder).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(300)
+
+
+def read_limited(spark, path: str, schema, files: int, pattern: str = "*.parquet") -> DataFrame:
+    """A stream of Parquet files that takes no more than ``files`` of them in a batch, however many wait."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", pattern).parquet(path)
+
+
+def fan_out(events: DataFrame, routes: dict[str, Column], path: str, folder: str) -> None:
+    """Run a bounded stream into several tables at once: each batch is read once, kept, and written to each route that its rows match.
+
+    A batch overwrites its own part of a table, so that a batch which is run again after a failure adds nothing twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        try:
+            for name, wanted in routes.items():
+                kept.where(wanted).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        finally:
+            kept.unpersist()
+
+    events.writeStream.foreachBatch(write).option("checkpointLocation", folder).trigger(availableNow=True).start().awaitTermination(300)
