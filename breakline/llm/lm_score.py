@@ -4,17 +4,18 @@ Counts. Texts are dealt into blocks; each block sends the 64-bit hashes and trai
 packed. A shard sums them over all blocks and answers each block with the totals in the same order, so every token's count
 over the whole corpus is known where the token stands, and a token in every document is one entry per block.
 
-Model. The ``MODEL_WORDS`` most frequent training tokens (with the end) have vectors; the others share one, "other". The two
-tokens before predict the next: score(w) = (C1 r1 + C2 r2) . q_w + b_w. Every task trains on its own share of all training
-documents with numpy, by noise-contrastive estimation against the unigram distribution, from the same start; the tasks'
-parameters are averaged, weighted by tokens. Scoring is normalised: for A1 = E C1 Q' and A2 = E C2 Q' + b the normaliser of all
-pairs of contexts is one matrix product, log(exp(A1) exp(A2)'). A token outside of the model's vocabulary gets the
-probability of "other" times its share (count + 1) among such tokens, one part being kept for tokens never seen.
+Model. The model's units are the end, the most frequent training tokens, and ``CLASSES`` classes of all other tokens, by a hash of a
+token's last bytes; ``MODEL_WORDS`` units in all, each with vectors. The two units before predict the next: score(u) = (C1 r1 + C2 r2) . q_u + b_u.
+A token of a class gets the probability of its class times its share (count + 1) in that class over the whole corpus, one part of each class
+being kept for tokens never seen. So the vocabulary is all of the corpus, in two levels, and the part that grows is counted, not trained. Every task trains on its
+own share of the training documents with numpy, by noise-contrastive estimation against the unigram distribution; the tasks' parameters are
+averaged, weighted by tokens, after each of ``ROUNDS`` rounds over another part of the documents, and the next round starts from the average. Scoring is normalised: for
+A1 = E C1 Q' and A2 = E C2 Q' + b the normaliser of all pairs of contexts is one matrix product, log(exp(A1) exp(A2)').
 
 Hashes of 64 bits stand for tokens: for a thousand million distinct tokens the chance that any two are taken for one is below 3 %.
 
 Defined results: null text is empty text, whose only token is the end. A null id counts as empty text for the fold. Without any training
-token the base is log10(1) and the model is uniform over "other" and the end. Repeated rows repeat; other columns are ignored;
+token the base is log10(1) and the model is uniform over its units. Repeated rows repeat; other columns are ignored;
 an empty table gives an empty table.
 """
 
@@ -28,14 +29,22 @@ from pyspark.sql import functions as F
 
 from .common import block_count, block_of, materialise, text_batches, text_bytes
 
-#: Tokens with vectors of their own, with the end and "other".
+#: Units with vectors, and how many of them are classes.
 MODEL_WORDS = 2048
+CLASSES = 1024
+#: Bytes at a token's end that tell its class.
+_TAIL = 4
+#: Parts of the documents, each of which is one round of training.
+ROUNDS = 4
 WIDTH = 16
 #: Noise tokens that each step draws, shared by its positions.
-NOISE = 32
+NOISE = 96
 STEP = 4096
 RATE = 0.08
-_OTHER, _END = 0, 1
+#: Where the sums of squared gradients, by which steps shrink, begin; they are averaged and go on over the rounds, too.
+_LEAST_SQUARE = 1e-8
+#: The end's number; the classes follow it, then the words. 0 is no unit, and no token has it.
+_END = 1
 #: No word holds white space, so this is the end's own key.
 _END_KEY = b"\n"
 #: Distinct tokens that a shard holds, about, at a token for each 8 bytes of text at most.
@@ -60,8 +69,14 @@ def _hash(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _block_words(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a block's distinct tokens in order, and how often each stands in training documents."""
+def _classes(words) -> np.ndarray:
+    """The class of each token, by its last bytes."""
+    words = list(words)
+    return (np.fromiter((xxhash.xxh3_64_intdigest(w[-_TAIL:]) for w in words), np.uint64, len(words)) % np.uint64(CLASSES)).astype(np.uint16)
+
+
+def _block_words(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a block's distinct tokens in order, how often each stands in training documents, and its class."""
     count: dict[bytes, int] = {}
     every: set[bytes] = set()
     for held, text in zip(block.column("held_out").to_pylist(), block.column("text").cast(pa.binary()), strict=True):
@@ -76,17 +91,17 @@ def _block_words(block: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     h = _hash(words)
     n = np.fromiter((count.get(w, 0) for w in words), np.int64, len(words))
     keys, first, at = np.unique(h, return_index=True, return_inverse=True)
-    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64) if len(first) < len(h) else n[first]
+    return keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64) if len(first) < len(h) else n[first], _classes(words)[first]
 
 
 def _ask(shards: int):
     """A block's distinct tokens, packed for each shard."""
 
     def run(block: pa.Table) -> pa.Table:
-        keys, n = _block_words(block)
+        keys, n, cls = _block_words(block)
         shard = (keys % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        keys, n, shard = keys[order], n[order], shard[order]
+        keys, n, cls, shard = keys[order], n[order], cls[order], shard[order]
         cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True])))
         number = block.column("block")[0].as_py()
         spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
@@ -95,6 +110,7 @@ def _ask(shards: int):
             "block": pa.array([number] * len(spans), pa.int32()),
             "keys": pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()),
             "counts": pa.array([n[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
+            "classes": pa.array([cls[a:b].tobytes() for a, b in spans], pa.binary()),
         })
 
     return run
@@ -106,7 +122,8 @@ def _total(most: int):
     def run(asked: pa.Table) -> pa.Table:
         keys = [np.frombuffer(k, np.uint64) for k in asked.column("keys").to_pylist()]
         counts = [np.frombuffer(c, np.uint32).astype(np.int64) for c in asked.column("counts").to_pylist()]
-        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        every, one, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        cls = np.concatenate([np.frombuffer(c, np.uint16) for c in asked.column("classes").to_pylist()])[one]
         total = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.int64)
         ends = np.cumsum([len(k) for k in keys])
         told = [total[at[b - len(k) : b]] for k, b in zip(keys, ends, strict=True)]
@@ -120,40 +137,52 @@ def _total(most: int):
             "counts": pa.array([*(t.tobytes() for t in told), total[first].tobytes()], pa.binary()),
             "n": pa.array([None] * len(keys) + [int(total.sum())], pa.int64()),
             "v": pa.array([None] * len(keys) + [int((total > 0).sum())], pa.int64()),
+            "classes": pa.array([None] * len(keys) + [cls[first].tobytes()], pa.binary()),
+            "class_n": pa.array([None] * len(keys) + [np.bincount(cls, weights=total, minlength=CLASSES).astype(np.int64).tolist()], pa.list_(pa.int64())),
+            "class_v": pa.array([None] * len(keys) + [np.bincount(cls[total > 0], minlength=CLASSES).astype(np.int64).tolist()], pa.list_(pa.int64())),
         })
 
     return run
 
 
 class Vocabulary:
-    """The model's tokens by number: other, the end, then by frequency; and what lies outside."""
+    """The model's units by number: the end, the classes, then words by frequency; and what each class holds besides those words."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, n: int, v: int, size: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, classes: np.ndarray, n: int, v: int, class_n: np.ndarray, class_v: np.ndarray, size: int):
         end = _hash([_END_KEY])[0]
         ends = int(counts[keys == end].sum())
         order = np.lexsort((keys, -counts))
-        order = order[keys[order] != end][: size - 2]
+        order = order[keys[order] != end][: max(size - 2 - CLASSES, 0)]
         self.keys = keys[order]
         self.n, self.v = n, v
-        self.other_n = n - ends - int(counts[order].sum())
-        self.other_v = v - (ends > 0) - len(order)
-        self.counts = np.concatenate(([self.other_n, ends], counts[order])).astype(np.float64)
+        end_class = int(_classes([_END_KEY])[0])
+        self.class_n = class_n - np.bincount(classes[order], weights=counts[order], minlength=CLASSES).astype(np.int64)
+        self.class_v = class_v - np.bincount(classes[order], minlength=CLASSES)
+        self.class_n[end_class] -= ends
+        self.class_v[end_class] -= ends > 0
+        self.counts = np.concatenate(([0, ends], self.class_n, counts[order])).astype(np.float64)
         self._sorted = np.argsort(self.keys)
         self._end = end
 
     def __len__(self) -> int:
         return len(self.counts)
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """The model's number of each hash."""
-        out = np.full(len(h), _OTHER, np.int32)
+    def numbers(self, h: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The unit of each token, by its hash and class."""
+        out = classes.astype(np.int32) + 2
         if len(self.keys):
             s = self.keys[self._sorted]
             at = np.minimum(np.searchsorted(s, h), len(s) - 1)
-            out = np.where(s[at] == h, self._sorted[at] + 2, _OTHER).astype(np.int32)
+            out = np.where(s[at] == h, self._sorted[at] + 2 + CLASSES, out).astype(np.int32)
         out[h == self._end] = _END
         return out
 
+    def share(self, numbers: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """log10 of a token's share in its unit: 0 for the end and words."""
+        cls = np.clip(numbers - 2, 0, CLASSES - 1)
+        inside = np.log10((count + 1) / (self.class_n[cls] + self.class_v[cls] + 1))
+        return np.where((numbers > _END) & (numbers < CLASSES + 2), inside, 0.0)
+
 
 class LogBilinear:
     """Parameters in one flat array: E, Q, C1, C2, b."""
@@ -222,24 +251,23 @@ def _positions(numbers: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack((x, y, numbers), axis=1)
 
 
-def _train(vocabulary: Vocabulary, model: LogBilinear, groups: int):
-    """A task's parameters after training on its documents, with the number of tokens."""
+def _train(vocabulary: Vocabulary, start: np.ndarray, square: np.ndarray, groups: int):
+    """A task's parameters and summed squares after training on its documents, with the number of tokens."""
 
     def run(batches):
-        own, square, seen, rng = None, None, 0, None
+        own, squares, seen, rng = None, None, 0, None
         known: dict[bytes, int] = {}
         numbers: list[int] = []
         ends: list[int] = []
 
         def pass_over() -> None:
-            nonlocal own, square, rng, seen
+            nonlocal own, squares, rng, seen
             if own is None:
                 own = LogBilinear(vocabulary.counts)
-                own.flat = model.flat.copy()
-                square = np.full(len(own.flat), 1e-8, np.float32)
-                rng = np.random.default_rng(7)
+                own.flat, squares = start.copy(), square.copy()
+                rng = np.random.default_rng(len(numbers))
             tokens = _positions(np.array(numbers, np.int32), np.array(ends))
-            own.train(tokens[rng.permutation(len(tokens))], rng, square)
+            own.train(tokens[rng.permutation(len(tokens))], rng, squares)
             seen += len(numbers)
             numbers.clear()
             ends.clear()
@@ -252,7 +280,7 @@ def _train(vocabulary: Vocabulary, model: LogBilinear, groups: int):
                     if len(known) > 500_000:
                         known.clear()
                     new = [t for t in set(tokens) if t not in known]
-                    known.update(zip(new, vocabulary.numbers(_hash(new)).tolist(), strict=True))
+                    known.update(zip(new, vocabulary.numbers(_hash(new), _classes(new)).tolist(), strict=True))
                     got = [known[t] for t in tokens]
                 numbers.extend(got)
                 ends.append(len(numbers))
@@ -262,7 +290,7 @@ def _train(vocabulary: Vocabulary, model: LogBilinear, groups: int):
             pass_over()
         if own is not None:
             group = int(xxhash.xxh3_64_intdigest(own.flat[:64].tobytes()) % groups)
-            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([own.flat.tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["g", "flat", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([np.concatenate((own.flat, squares)).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["g", "flat", "n"])
 
     return run
 
@@ -275,21 +303,25 @@ def _average(shares: pa.Table) -> pa.Table:
     return pa.table({"g": pa.array([0], pa.int32()), "flat": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, n_bytes: int) -> LogBilinear:
-    """Train on all rows of ``texts`` (text), about ``n_bytes`` of it."""
+def train(texts: DataFrame, vocabulary: Vocabulary, n_bytes: int, rounds: int = ROUNDS) -> LogBilinear:
+    """Train on all rows of ``texts`` (text), about ``n_bytes`` of it: each row in one of the rounds."""
     model = LogBilinear(vocabulary.counts)
-    groups = _AVERAGED
-    while groups * _AVERAGED < n_bytes // _TASK_BYTES:
-        groups *= _AVERAGED
-    shares = texts.select("text").mapInArrow(_train(vocabulary, model, groups), "g int, flat binary, n long")
-    while True:
-        shares = materialise(shares.groupBy("g").applyInArrow(_average, "g int, flat binary, n long"), "averages")
-        if groups == 1:
-            break
-        groups //= _AVERAGED
-        shares = shares.withColumn("g", F.pmod(F.xxhash64("flat"), F.lit(groups)).cast("int"))
-    if got := shares.first():  # one model of a fixed size
-        model.flat = np.frombuffer(got["flat"], np.float32).copy()
+    tree = _AVERAGED
+    while tree * _AVERAGED < n_bytes // rounds // _TASK_BYTES:
+        tree *= _AVERAGED
+    part = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(rounds))
+    square = np.full(len(model.flat), _LEAST_SQUARE, np.float32)
+    for k in range(rounds):
+        groups = tree
+        shares = texts.where(part == k).select("text").mapInArrow(_train(vocabulary, model.flat, square, groups), "g int, flat binary, n long")
+        while True:
+            shares = materialise(shares.groupBy("g").applyInArrow(_average, "g int, flat binary, n long"), "averages")
+            if groups == 1:
+                break
+            groups //= _AVERAGED
+            shares = shares.withColumn("g", F.pmod(F.xxhash64("flat"), F.lit(groups)).cast("int"))
+        if got := shares.first():  # one model of a fixed size
+            model.flat, square = np.split(np.frombuffer(got["flat"], np.float32).copy(), 2)
     return model
 
 
@@ -319,8 +351,8 @@ def _score(shards: int, vocabulary: Vocabulary, model: LogBilinear):
         total[order] = np.concatenate(answer) if answer else 0
         count = total[np.searchsorted(keys, h)]
         base = np.log10((count + 1) / (vocabulary.n + (vocabulary.v + 1)))
-        number = vocabulary.numbers(h)
-        share = np.where(number == _OTHER, np.log10((count + 1) / (vocabulary.other_n + vocabulary.other_v + 1)), 0.0)
+        number = vocabulary.numbers(h, _classes(words))
+        share = vocabulary.share(number, count)
         out: dict[str, list] = {"known": [], "base": [], "score": []}
         start = np.concatenate(([0], ends[:-1]))
         for i in range(0, len(ends), 256):  # documents at a time
@@ -344,24 +376,26 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     n_bytes = text_bytes(docs, text_col)
     blocks, shards = block_count(n_bytes), block_count(n_bytes, SHARD_BYTES)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(held_out, F.lit(True)).alias("held_out"), block_of(docs[id_col], docs[text_col], blocks).alias("block"))
-    asked = own.groupBy("block").applyInArrow(_ask(shards), "shard int, block int, keys binary, counts binary")
-    told = materialise(asked.groupBy("shard").applyInArrow(_total(model_words), "shard int, block int, keys binary, counts binary, n long, v long"), "totals")
+    asked = own.groupBy("block").applyInArrow(_ask(shards), "shard int, block int, keys binary, counts binary, classes binary")
+    told = materialise(asked.groupBy("shard").applyInArrow(_total(model_words), "shard int, block int, keys binary, counts binary, n long, v long, classes binary, class_n array<long>, class_v array<long>"), "totals")
     sums = told.where(F.col("block").isNull())
     n, v = sums.agg(F.sum("n"), F.sum("v")).first()
-    keys, counts = _most_frequent(sums, model_words)
-    vocabulary = Vocabulary(keys, counts, n or 0, v or 0, model_words)
+    keys, counts, classes = _most_frequent(sums, model_words)
+    per = {r["cls"]: (r["n"], r["v"]) for r in sums.select(F.posexplode(F.arrays_zip("class_n", "class_v")).alias("cls", "x")).groupBy("cls").agg(F.sum("x.class_n").alias("n"), F.sum("x.class_v").alias("v")).collect()}
+    class_n, class_v = (np.array([per.get(c, (0, 0))[i] for c in range(CLASSES)], np.int64) for i in (0, 1))
+    vocabulary = Vocabulary(keys, counts, classes, n or 0, v or 0, class_n, class_v, model_words)
     model = train(own.where(~F.col("held_out")), vocabulary, n_bytes)
     answers = told.where(F.col("block").isNotNull()).select("block", "shard", "counts")
     return own.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shards, vocabulary, model), SCHEMA)
 
 
-def _most_frequent(sums: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens over all shards."""
+def _most_frequent(sums: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent tokens over all shards, with counts and classes."""
 
     def rows(batches):
         for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64))], names=["key", "count"])
+            for k, c, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(c, np.int64)), pa.array(np.frombuffer(x, np.uint16).astype(np.int32))], names=["key", "count", "cls"])
 
-    first = sums.select("keys", "counts").mapInArrow(rows, "key long, count long").orderBy(F.desc("count"), "key").limit(most).collect()
-    return np.array([r["key"] for r in first], np.int64).view(np.uint64), np.array([r["count"] for r in first], np.int64)
+    first = sums.select("keys", "counts", "classes").mapInArrow(rows, "key long, count long, cls int").orderBy(F.desc("count"), "key").limit(most).collect()
+    return np.array([r["key"] for r in first], np.int64).view(np.uint64), np.array([r["count"] for r in first], np.int64), np.array([r["cls"] for r in first], np.int64)

@@ -403,6 +403,43 @@ def test_lm_is_normalised_and_learns():
     assert lm_score._positions(np.array([5, 6, 1, 1, 7, 1]), np.array([3, 4, 6])).tolist() == [[1, 1, 5], [1, 5, 6], [5, 6, 1], [1, 1, 1], [1, 1, 7], [1, 7, 1]]
 
 
+def test_lm_score_equals_brute_force():
+    """The score of a text from the model's parameters, written out unit by unit, and the shares of all tokens of a class."""
+    rng = random.Random(6)
+    words = [f"{rng.choice('abcdef')}{rng.choice('xyz')}{i}".encode() for i in range(300)]
+    count = Counter(rng.choice(words[: 1 + rng.randrange(300)]) for _ in range(5000))
+    count[lm_score._END_KEY] = 200
+    every = list(count)
+    h, n, cls = lm_score._hash(every), np.array([count[w] for w in every]), lm_score._classes(every).astype(int)
+    class_n, class_v = np.bincount(cls, weights=n, minlength=lm_score.CLASSES).astype(np.int64), np.bincount(cls, minlength=lm_score.CLASSES)
+    voc = lm_score.Vocabulary(h, n, cls, int(n.sum()), len(every), class_n, class_v, lm_score.CLASSES + 51)
+    assert len(voc) == lm_score.CLASSES + 51 and voc.counts.sum() == n.sum() and min(voc.class_n) >= 0 and min(voc.class_v) >= 0
+    model = lm_score.LogBilinear(voc.counts, 8)
+    e, q, c1, c2, b = model.parts()
+    a1, a2, z = model.tables()
+    text = [rng.choice(every[:-1]) for _ in range(30)] + [b"neverseen", lm_score._END_KEY]
+    unit, seen = voc.numbers(lm_score._hash(text), lm_score._classes(text)), np.array([count.get(w, 0) for w in text])
+    x, y, m = lm_score._positions(unit, np.array([len(text)])).T
+    got = (a1[x, m] + a2[y, m] - z[x, y]) / math.log(10) + voc.share(unit, seen)
+    want, before = [], [lm_score._END, lm_score._END]
+    for w, u in zip(text, unit, strict=True):
+        s = [float((e[before[0]] @ c1 + e[before[1]] @ c2) @ q[k] + b[k]) for k in range(len(voc))]
+        p = math.exp(s[u]) / sum(map(math.exp, s))
+        if 1 < u < lm_score.CLASSES + 2:
+            inside = [v for v, k in zip(every, voc.numbers(h, cls), strict=True) if k == u]
+            p *= (count.get(w, 0) + 1) / (sum(count[v] for v in inside) + len(inside) + 1)
+        want.append(math.log10(p))
+        before = [before[1], int(u)]
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_lm_learns_more_than_counts(spark):
+    """On held-out documents of the table the model is better than the base by a margin a token."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = lm_score.score_documents(docs, crc_mod(F.col("doc_id"), 7) == 2).where("held_out").selectExpr("sum(score) / sum(n_tokens) AS model", "sum(base_score) / sum(n_tokens) AS base").first()
+    assert got.model > got.base + 0.15
+
+
 def brute_fp(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     sh = [" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([" ".join(w)] if w else [])
