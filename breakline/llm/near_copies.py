@@ -5,9 +5,13 @@ found by prefix filtering: the shingles have one order that holds everywhere, an
 n - ceil(4n/5) + 1 shingles of each have one in common. Any order is right; shingles that are frequent in a sample of the
 documents come last, so that few texts meet in them. Texts that meet are compared by their whole sets.
 
+SimHash comes first (``simhash``): sets whose texts' fingerprints differ by 3 bits or fewer are compared, and what they link needs no further
+comparison. It can't tell all pairs of that similarity, so prefix filtering adds those it misses.
+
 Equal sets are one node. In a cell of up to ``_SMALL`` nodes all pairs that their sizes allow are compared. In a larger one, first
 each node with the least and with its neighbours in size; then, once components are known, all pairs that are still in
-different ones. A large group of near copies thus costs some pairs a member; nothing is left out.
+different ones and whose parity bitmaps allow it: a bitmap's bits are the parities of a set's shingles by hash, so two bitmaps differ
+in no more bits than their sets in shingles, and no similar pair is left out. A large group of near copies thus costs some pairs a member; nothing is left out.
 
 Defined results: null text is empty text; texts without words are equal; up to ``SHINGLE`` words are one shingle.
 """
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, small_or_not, text_batches
 from .components import components
-from .simhash import by_component
+from .simhash import by_component, fingerprint
+from .simhash import links as print_links
 
 SHINGLE = 5
 SEED = 42
@@ -31,6 +36,8 @@ SIMILAR = (4, 5)
 #: One document of so many is asked for frequent shingles; those in ``_OFTEN`` of them come last, the most frequent ``_MOST`` at most.
 _SAMPLE, _OFTEN, _MOST = 8, 4, 1_000_000
 _SMALL, _NEXT = 64, 4
+#: Bits of a parity bitmap.
+_BITS = 1024
 #: Bytes of texts and sets that a task keeps while it compares pairs.
 _HELD = 32 << 20
 
@@ -54,6 +61,11 @@ def node(s: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> bytes:
+    """How many of the shingles fall on each bit, modulo 2."""
+    return np.packbits(np.bincount((s >> np.uint64(32)).astype(np.int64) % _BITS, minlength=_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def first(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The shingles of which two similar sets have one in common; ``often`` is sorted, ``rank`` its order from rare to frequent."""
     n, (up, down) = len(s), SIMILAR
@@ -109,7 +121,7 @@ def _by_cell(batches, of_cells):
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [c.to_numpy() for c in batch.columns]
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on
         if cut:
             yield from of_cells(*(np.concatenate(x) for x in zip(*rest, [c[:cut] for c in cols], strict=True)))
@@ -156,15 +168,19 @@ def _meetings(batches):
 
 
 def _across(batches):
-    """Large cells (g, node, n, root) to the pairs of different components."""
+    """Large cells (g, node, n, root, bits) to the pairs of different components that can be similar."""
+    up, down = SIMILAR
 
-    def run(cell, who, n, root):
+    def run(cell, who, n, root, bits):
         for s, e in zip(start := np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))), [*start[1:], len(cell)], strict=True):
             if (root[s:e] == root[s]).all():
                 continue
+            odd = np.frombuffer(b"".join(bits[s:e]), np.uint64).reshape(e - s, -1)
             for i in range(s, e):  # rows are in order of n
-                far = i + 1 + int(np.searchsorted(n[i + 1 : e], n[i] * SIMILAR[1] // SIMILAR[0], "right"))
-                other = who[i + 1 : far][root[i + 1 : far] != root[i]]
+                far = i + 1 + int(np.searchsorted(n[i + 1 : e], n[i] * down // up, "right"))
+                at = i + 1 + np.flatnonzero(root[i + 1 : far] != root[i])
+                differ = np.bitwise_count(odd[at - s] ^ odd[i - s]).sum(axis=1, dtype=np.int64)
+                other = who[at[differ * (up + down) <= (n[at] + n[i]) * (down - up)]]
                 if len(other):
                     yield _table(["a", "b"], np.minimum(other, who[i]), np.maximum(other, who[i]))
 
@@ -209,6 +225,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame
     return left.join(own.withColumnsRenamed({"fp": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def _by_print(sims: DataFrame) -> DataFrame:
+    """Nodes with fingerprints (fp, sim) to the pairs (a, b) that SimHash gives: each with one of its fingerprint, and one of each of two linked ones."""
+    one = materialise(sims.groupBy("sim").agg(F.min("fp").alias("rep")), "fingerprints")
+    same = sims.join(one, "sim").where(F.col("fp") != F.col("rep")).select("fp", "rep")
+    linked = print_links(one.select(F.col("sim").alias("fp")))
+    far = linked.join(one.select(F.col("sim").alias("a"), F.col("rep").alias("fp")), "a").join(one.select(F.col("sim").alias("b"), "rep"), "b").select("fp", "rep")
+    return same.unionByName(far).select(F.least("fp", "rep").alias("a"), F.greatest("fp", "rep").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that the links don't connect yet."""
+    roots = components(links)
+    got = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("_x")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("_y")), "b", "left")
+    return got.where(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b")
+
+
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``, which has no null ids; fp names the text's set of shingles."""
     text_batches(docs)
@@ -218,26 +250,32 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         for batch in batches:
-            ids, names, sizes, firsts = [], [], [], []
+            ids, names, sizes, firsts, bits = [], [], [], [], []
+            sims = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1).cast(pa.binary())), np.uint64, batch.num_rows)
             for i, s in _sets([batch]):
                 ids.append(i)
+                bits.append(parities(s))
                 names.append(node(s))
                 sizes.append(len(s))
                 firsts.append(_signed(first(s, *sent.value)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "fp", "n", "first"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(_signed(sims)), pa.array(bits, pa.binary())], names=["doc_id", "fp", "n", "first", "sim", "bits"])
 
     # one row per document with its first shingles, a fifth of all
-    said = materialise(texts.mapInArrow(run, "doc_id long, fp long, n long, first array<long>"), "shingles")
+    said = materialise(texts.mapInArrow(run, "doc_id long, fp long, n long, first array<long>, sim long, bits binary"), "shingles")
     prints = said.select("doc_id", "fp")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    one = said.join(nodes.select(F.col("least").alias("doc_id"), "fp").hint("shuffle_hash"), ["doc_id", "fp"], "left_semi")
+    least = nodes.select(F.col("least").alias("doc_id"), "fp").hint("shuffle_hash")
+    one = said.join(least, ["doc_id", "fp"], "left_semi")
+    marks = materialise(said.select("doc_id", "fp", "sim", "bits").join(least, ["doc_id", "fp"], "left_semi").groupBy("fp").agg(F.min("sim").alias("sim"), F.first("bits").alias("bits")), "marks")
+    links = materialise(_verified(materialise(_by_print(marks.select("fp", "sim")), "pairs-print"), texts, nodes), "similar-print")
     cells = one.select(F.explode("first").alias("g"), "fp", "n")
     met = materialise(cells.repartition("g").sortWithinPartitions("g", "n", "fp").mapInArrow(_meetings, "g long, a long, b long"), "met")
-    links = materialise(_verified(materialise(met.where(F.col("g").isNull()).select("a", "b").distinct(), "pairs"), texts, nodes), "similar")
+    pairs = _apart(met.where(F.col("g").isNull()).select("a", "b").distinct(), links)
+    links = links.unionByName(materialise(_verified(materialise(pairs, "pairs"), texts, nodes), "similar"))
     large = met.where(F.col("g").isNotNull()).select("g", F.col("a").alias("fp"), F.col("b").alias("n"))
     if not large.isEmpty():
         roots = components(links).select(F.col("node").alias("fp"), "root")
-        rooted = large.join(roots, "fp", "left").select("g", "fp", "n", F.coalesce("root", "fp").alias("root"))
+        rooted = large.join(roots, "fp", "left").join(marks.select("fp", "bits"), "fp").select("g", "fp", "n", F.coalesce("root", "fp").alias("root"), "bits")
         more = rooted.repartition("g").sortWithinPartitions("g", "n", "fp").mapInArrow(_across, "a long, b long").distinct()
         more = materialise(more, "pairs-across")
         if not more.isEmpty():

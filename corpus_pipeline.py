@@ -19,7 +19,10 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles alike by 0.8 or more) stays, the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles alike by 0.8 or more) stays, the one with the smallest id.
+
+    SimHash links them where fingerprints are near and an exact check agrees; prefix filtering adds those that it misses.
+    """
     return simhash.near_dedup(docs, groups=near_copies.grouped)
 
 
